@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, distinctive, mixing, ranking, terms
+from paperloom.llm import bpe, distinctive, markup, mixing, ranking, residue, terms
 from paperloom.plans.queries import Query
 from paperloom.runtime import read_table
 
@@ -59,6 +59,16 @@ def p5_scores(s, d):
     return _residuals(s, d).select("doc_id", "word", "freq", F.round("residual", 6).alias("residual"))
 
 
+@query
+def p6_found(s, d):
+    return markup.find_markup(read_table(s, d, "raw_papers"), "line_no", ["title", "abstract"])
+
+
+@query
+def p6_clean(s, d):
+    return markup.clean_markup(read_table(s, d, "raw_papers"), "line_no", ["title", "abstract"])
+
+
 @query
 def p8_ids(s, d):
     return bpe.encode(read_table(s, d, "documents"))
@@ -79,6 +89,16 @@ def p9_shares(s, d):
     return _mix(s, d)[1]
 
 
+@query
+def p10_found(s, d):
+    return residue.flag_residue(read_table(s, d, "documents")).filter("residue").select("doc_id")
+
+
+@query
+def p10_kept(s, d):
+    return residue.flag_residue(read_table(s, d, "documents")).filter("not residue").select("doc_id")
+
+
 def llm_sql() -> dict[str, str]:
     from paperloom.llm.oracle import llm_sql as sql
 
