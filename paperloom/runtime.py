@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return given
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the Python workers, once a session, so that functions
+    given to Arrow operators can be unpickled wherever the package isn't installed. The
+    driver only stages the archive; Spark's file server hands it to the executors."""
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parent
+    if getattr(sc, "_paperloom_shipped", False) or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="paperloom-ship-")) / "paperloom-src.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._paperloom_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialize ``df`` in the shared checkpoint folder and forget how it was made.
 
