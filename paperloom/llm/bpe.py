@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from paperloom.runtime import ship
+
 WORD = 64
 
 
@@ -216,6 +218,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     """(id, ids): token ids of every text, without special tokens; their strings in a text
     are ordinary text. Null and empty texts have an empty list. Whole texts are encoded,
     a row at a time inside Arrow batches: no shuffle. Other columns are not read."""
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(
         _encode_batches(path, id_col, text_col), f"`{id_col}` {kind}, ids array<int>")
@@ -223,5 +226,6 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
 def count_tokens(docs: DataFrame, keep: list[str], text_col: str = "text", path: str | None = None) -> DataFrame:
     """The columns ``keep`` and ``n_tokens`` of every row; 0 for null and empty texts."""
+    ship(docs.sparkSession)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*keep, text_col).mapInArrow(_count_batches(path, keep, text_col), f"{schema}, n_tokens long")

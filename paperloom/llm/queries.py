@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, distinctive, markup, mixing, ranking, residue, terms
+from paperloom.llm import bpe, distinctive, markup, mixing, names, ranking, residue, terms
 from paperloom.plans.queries import Query
 from paperloom.runtime import read_table
 
@@ -69,6 +69,20 @@ def p6_clean(s, d):
     return markup.clean_markup(read_table(s, d, "raw_papers"), "line_no", ["title", "abstract"])
 
 
+def _spellings(s, d):
+    return names.link_names(names.author_values(*(read_table(s, d, t) for t in ("raw_papers", "doc_metadata"))))
+
+
+@query
+def p7_found(s, d):
+    return names.spelling_pairs(_spellings(s, d))
+
+
+@query
+def p7_clusters(s, d):
+    return _spellings(s, d)
+
+
 @query
 def p8_ids(s, d):
     return bpe.encode(read_table(s, d, "documents"))

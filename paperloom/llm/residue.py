@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.runtime import ship
+
 #: Share of an exemplar's weight a window must hold; for mentions, a smaller share vetoes.
 COVERAGE, VETO = 0.8, 0.6
 #: Tokens around a match in which a mention vetoes it; consecutive filler words that count.
@@ -362,6 +364,7 @@ def _count_tokens(vocab: frozenset[str], text_col: str):
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[dict[str, int], int]:
     """Document frequency of each library token and the number of documents, over all rows.
     Only these few hundred sums reach the driver."""
+    ship(docs.sparkSession)
     parts = docs.select(text_col).mapInArrow(_count_tokens(frozenset(vocabulary()), text_col), "token string, n long")
     df = {r["token"]: r["n"] for r in parts.groupBy("token").agg(F.sum("n").alias("n")).collect()}
     return df, df.pop("", 0)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.runtime import cut
+from paperloom.runtime import cut, ship
 
 RARE_DOCS, COMMON_SHARE = 2, 0.1
 #: A word is heavy if it holds at least this share of the cells; at most 1/HEAVY_SHARE are.
@@ -71,6 +71,7 @@ def count_terms(cell: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame:
     tables are exact and disjoint, so their union is the answer.
     """
     spark = cell.sparkSession
+    ship(spark)
     found = cell.stat.freqItems(["word"], heavy_share).first()
     heavy = sorted(w for w in (found[0] or []) if w is not None) if found else []
     light = cell
