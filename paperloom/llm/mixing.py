@@ -60,7 +60,7 @@ def exponent_for_entropy(q: dict[str, float], target: float) -> float:
     return bisect_exponent(lambda a: entropy(temper(q, a)) >= target, 0.0, 8.0)
 
 
-def plan(tokens: dict[str, int], weights: dict[str, float], repeats: dict[str, int], budget: int | None = None) -> tuple[dict[str, int], float]:
+def plan(tokens: dict[str, int], weights: dict[str, float], repeats: dict[str, int], budget: float | None = None) -> tuple[dict[str, int], float]:
     """Token budgets per source and the exponent used.
 
     Weights are normalized over the sources that have tokens. Without a budget the total
@@ -74,13 +74,13 @@ def plan(tokens: dict[str, int], weights: dict[str, float], repeats: dict[str, i
     full = {s: tokens[s] * repeats[s] for s in q}
     ideal = temper(q, 1.0, weights)
     if budget is None:
-        budget = int(min(full[s] / ideal[s] for s in q))
+        budget = min(full[s] / ideal[s] for s in q)
     a = bisect_exponent(lambda a: all(budget * x <= full[s] * (1 + 1e-9) for s, x in temper(q, a, weights).items()))
     shares = temper(q, a, weights)
-    return {s: min(full[s], int(budget * x)) for s, x in shares.items()}, a
+    return {s: min(full[s], int(budget * x + 1e-6)) for s, x in shares.items()}, a
 
 
-def mix(sized: DataFrame, targets: DataFrame, budget: int | None = None, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
+def mix(sized: DataFrame, targets: DataFrame, budget: float | None = None, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
     """The mixture and its report.
 
     ``sized`` is (doc_id, source, n_tokens) with one row per record; ``targets`` is

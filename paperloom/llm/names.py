@@ -20,7 +20,7 @@ from paperloom.operators.multivalue import split_names
 from paperloom.runtime import cut, ship
 
 #: Least cosine of two family forms, least average similarity of two clusters that merge.
-COSINE, LINKAGE = 0.3, 0.4
+COSINE, LINKAGE = 0.3, 0.15
 GRAM = 3
 
 # Short forms and the given names they stand for.
@@ -43,7 +43,7 @@ NICKNAMES = {
     "tommy": "thomas", "tony": "anthony", "valya": "valentina", "vic": "victor", "vicky": "victoria", "walt": "walter", "will": "william", "zach": "zachary",
 }
 _PARTICLES = set("van von der den de del della di da dos das du la le el al bin ibn ter ten zu zur".split())
-_TITLE = re.compile(r"(?i)^(?:(?:dr|prof|professor|mr|mrs|ms|sir)\b\.?\s+)+")
+_TITLE = re.compile(r"^(?:(?:(?:Dr|Prof|Professor|Mr|Mrs|Ms|Sir)\b\.?|(?:DR|PROF)\.)\s+)+")
 _SUFFIX = re.compile(r"(?:,\s*|\s+)(?:((?i:jr|sr))\.?|(II|III|IV))(?=\s*(?:,|$))")
 _GROUP = re.compile(r"(?i)\b(?:collaboration|collab\.?|coll\.?|consortium|group|team)(?=\s|$)")
 _PLAIN = {"ß": "ss", "ø": "o", "ł": "l", "æ": "ae", "œ": "oe", "đ": "d", "ı": "i"}
@@ -107,7 +107,7 @@ def read_name(name: str) -> list[tuple[str, str, str, str, bool]]:
         return len(bare) == 1 or "." in w[:-1] or (w.endswith(".") and len(bare) <= 2) or (len(bare) == 2 and bare.isupper() and not shouting)
 
     if is_initial(words[-1]) and not is_initial(words[0]):  # family first, then initials
-        at = next(i for i, w in enumerate(words) if is_initial(w))
+        at = next((i + 1 for i, w in enumerate(words) if fold(w) not in _PARTICLES), 1)
         f = _family(words[:at])
         return [("p", f, " ".join(_given(words[at:], shouting)), suffix, True)] if f else []
     at = next((i for i, w in enumerate(words) if i and fold(w) in _PARTICLES), len(words) - 1)
@@ -117,8 +117,7 @@ def read_name(name: str) -> list[tuple[str, str, str, str, bool]]:
         return [("p", f, " ".join(_given(words[at + 1:], shouting)), suffix, True)] if f else []
     f, g = _family(words[at:]), " ".join(_given(words[:at], shouting))
     out = [("p", f, g, suffix, True)] if f else []
-    full = [w for w in words if not is_initial(w)]
-    if f and len(full) == 2 and at == len(words) - 1 and not is_initial(words[0]):
+    if f and len(words) == 2 and not is_initial(words[0]):
         f2, g2 = _family(words[:1]), " ".join(_given(words[1:], shouting))
         if f2:
             out.append(("p", f2, g2, suffix, False))
@@ -323,7 +322,9 @@ def link_names(names: DataFrame) -> DataFrame:
     spelling. Names are compared as distinct values; empty tables give no rows."""
     read = cut(readings(names))
     links = alike_families(read.filter("first or kind = 'p'"))
-    return average_linkage(name_pairs(read, links))
+    clusters = average_linkage(name_pairs(read, links))
+    shared = clusters.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1").select("cluster")
+    return clusters.join(shared, "cluster", "left_semi")
 
 
 def spelling_pairs(clusters: DataFrame) -> DataFrame:
