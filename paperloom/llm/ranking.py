@@ -14,14 +14,14 @@ from paperloom.runtime import cut, dense_ids
 
 
 def positions(df: DataFrame, group: str, item: str, scores: list[str]) -> DataFrame:
-    """``df`` plus, for each score s, ``pos_s`` (1 is the highest, ties to the smaller item)
-    and ``n``, the size of the group.
+    """Group, item and scores of ``df`` plus, for each score s, ``pos_s`` (1 is the highest,
+    ties to the smaller item) and ``n``, the size of the group; other columns are left out.
 
     A range sort over (group, score, item) numbers all rows at once, so a group holding a
     third of the rows is still spread over all tasks; the group's first number, found by a
     partial aggregate, turns global numbers into positions. (group, item) must be unique.
     """
-    out = df
+    df = out = df.select(group, item, *scores)
     for s in scores:
         out = dense_ids(out, [F.col(group), F.desc(s), F.col(item)], f"__{s}")
     out = cut(out)
