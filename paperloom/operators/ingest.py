@@ -56,7 +56,7 @@ def lexicon_delta(new_docs: DataFrame, lex: DataFrame) -> DataFrame:
 
 def assign_ids(uploads: DataFrame, first_id: int, order: str) -> DataFrame:
     """Uploads numbered from ``first_id`` in the order of the unique column ``order``."""
-    return dense_ids(uploads, [F.col(order)], "n").withColumn("doc_id", F.col("n") + first_id).drop("n")
+    return dense_ids(uploads, [F.col(order)], "__n").withColumn("doc_id", F.col("__n") + first_id).drop("__n")
 
 
 def appended_rows(uploads: DataFrame) -> DataFrame:
