@@ -52,37 +52,50 @@ class PageRank:
 def pagerank(edges: DataFrame, damping: float = 0.85, max_iter: int = 50, tol: float | None = 1e-9) -> PageRank:
     """Ranks (id, score) summing to 1, dangling mass spread over all nodes.
 
-    Repeated edges are folded into one weighted edge before the loop, so a round shuffles
-    at most one row per distinct edge; shares into a hot target are summed map-side. Each
-    round is materialized in the shared checkpoint folder: the plan stays flat and no lost
-    executor can force earlier rounds again. Only two sums per round reach the driver.
-    ``tol=None`` runs exactly ``max_iter`` rounds. No edges give no ranks.
+    Repeated edges are folded into one weighted edge and laid out once by source; a source
+    with more than its partition's share of the edges is sliced over several (there are
+    fewer such sources than partitions). The rounds then leave the edges where they are:
+    each shuffles the ranks, one row a node, and the shares, summed per target map-side,
+    so a hot target is no burden. Each round is materialized in the shared checkpoint
+    folder: the plan stays flat and no lost executor can force earlier rounds again. Only
+    two sums a round reach the driver. ``tol=None`` runs exactly ``max_iter`` rounds. No
+    edges give no ranks.
     """
-    folded = edges.groupBy("src", "dst").agg(F.count("*").alias("m"))
-    weighted = cut(
-        folded.join(folded.groupBy("src").agg(F.sum("m").alias("degree")), "src")
-        .select("src", "dst", (F.col("m") / F.col("degree")).alias("w"))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    folded = cut(edges.groupBy("src", "dst").agg(F.count("*").alias("m")))
+    per_src = folded.groupBy("src").agg(F.sum("m").alias("degree"), F.count("*").alias("rows"))
+    limit = F.lit(max(folded.count() // parts, 1_000))
+    per_src = per_src.select("src", "degree", F.ceil(F.col("rows") / limit).cast("int").alias("slices"))
+    hot = F.broadcast(per_src.filter("slices > 1").select("src", "slices"))  # fewer than there are partitions
+    laid = cut(
+        folded.join(hot, "src", "left")
+        .select("src", "dst", "m", F.pmod(F.hash("dst"), F.coalesce("slices", F.lit(1))).alias("slice"))
+        .repartition(parts, "src", "slice").sortWithinPartitions("src", "slice"),
+        keep_layout=True,
+    )
+    ends = folded.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    nodes = cut(
+        ends.join(per_src.withColumnRenamed("src", "id"), "id", "left")
+        .select("id", F.col("slices").isNotNull().cast("int").alias("out"), F.coalesce("slices", F.lit(0)).alias("slices"), "degree")
     )
-    ends = weighted.select(F.explode(F.array(
-        F.struct(F.col("src").alias("id"), F.lit(1).alias("out")),
-        F.struct(F.col("dst").alias("id"), F.lit(0).alias("out")),
-    )).alias("e"))
-    nodes = cut(ends.groupBy("e.id").agg(F.max("e.out").alias("out")))
     n, idle = nodes.agg(F.count("*"), F.sum(1 - F.col("out"))).first()
     if not n:
         return PageRank(nodes.select("id", F.lit(0.0).alias("score")), 0, 0.0)
-    ranks = nodes.select("id", "out", F.lit(1.0 / n).alias("score"))
+    ranks = nodes.select("id", "out", "slices", "degree", F.lit(1.0 / n).alias("score"))
     idle_mass, error, done = idle / n, float("inf"), 0
     while done < max_iter and (tol is None or error >= tol):
         base = (1 - damping) / n + damping * idle_mass / n
+        spread = ranks.filter("out = 1").select(
+            F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
+            (F.col("score") / F.col("degree")).alias("each"))
         shares = (
-            weighted.join(ranks.select(F.col("id").alias("src"), "score"), "src")
+            laid.join(spread, ["src", "slice"])
             .groupBy(F.col("dst").alias("id"))
-            .agg(F.sum(F.col("score") * F.col("w")).alias("inflow"))
+            .agg(F.sum(F.col("each") * F.col("m")).alias("inflow"))
         )
         ranks = cut(
             ranks.join(shares, "id", "left").select(
-                "id", "out",
+                "id", "out", "slices", "degree",
                 (F.lit(base) + damping * F.coalesce("inflow", F.lit(0.0))).alias("score"),
                 F.col("score").alias("was"),
             )
@@ -91,5 +104,5 @@ def pagerank(edges: DataFrame, damping: float = 0.85, max_iter: int = 50, tol: f
             F.sum(F.abs(F.col("score") - F.col("was"))),
             F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("score"))), F.lit(0.0)),
         ).first()
-        ranks, done = ranks.select("id", "out", "score"), done + 1
+        ranks, done = ranks.select("id", "out", "slices", "degree", "score"), done + 1
     return PageRank(ranks.select("id", "score"), done, error)

@@ -22,11 +22,15 @@ def parse_uploads(files: DataFrame, value: str = "value") -> DataFrame:
     text gives its first line as title. Absent keys take the defaults.
     """
     raw = F.col(value)
-    # from_json fails where the text is no JSON; an object is told by its first character.
-    looks = F.ltrim(F.translate(raw, "\n\r\t", "   ")).startswith("{")
+    # Spark's JSON parsers stop at the end of the first value, so the text's ends are checked.
+    bare = F.regexp_replace(raw, r"^\s+|\s+$", "")
+    looks = bare.startswith("{") & bare.endswith("}")
     j = F.when(looks, F.from_json(raw, UPLOAD_SCHEMA + ", __bad string", {"columnNameOfCorruptRecord": "__bad"}))
     is_object = F.col("__j").isNotNull() & F.col("__j.__bad").isNull()
-    is_json = is_object | F.try_parse_json(raw).isNotNull()
+    tight = lambda c: F.regexp_replace(c, r"\s", "")
+    is_array = bare.startswith("[") & F.coalesce(tight(F.to_json(F.try_parse_json(bare))) == tight(bare), F.lit(False))
+    is_scalar = bare.rlike(r'^(?:-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|"(?:[^"\\\x00-\x1f]|\\.)*")$')
+    is_json = is_object | is_array | is_scalar
     line = first_line_title(raw)
     title = (
         F.when(is_object, F.coalesce(clean_upload(F.col("__j.title")), F.lit("Uploaded Document")))

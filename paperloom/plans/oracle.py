@@ -169,8 +169,8 @@ def core_sql() -> dict[str, str]:
         f"select line_no, coalesce({up.format('title')},'Uploaded Document') title, coalesce({up.format('coalesce(authors,submitter)')},'System Updater') authors, "
         "coalesce(update_date, versions[1].created,'2025-01-01') date, coalesce(replace(replace(id,chr(10),''),'|','-'),'upload/new') original_id from raw_papers")
     q["ingest_title_fallback"] = (
-        "with t as (select doc_id, substring(trim(split_part(text,chr(10),1)),1,60) l from documents where regexp_matches(text,'^[A-Z]')) "
-        "select doc_id, case when l='' then 'Uploaded Document' else l end title, 'System Updater' authors, '2025-01-01' date, 'upload/new' original_id from t")
+        "with t as (select doc_id, substring(trim(split_part(coalesce(text,''),chr(10),1)),1,60) l, coalesce(json_valid(text),false) j from documents) "
+        "select doc_id, case when l='' or j then 'Uploaded Document' else l end title, 'System Updater' authors, '2025-01-01' date, 'upload/new' original_id from t")
     newtok = (f"nt as (select line_no, lower(unnest(regexp_extract_all(coalesce(abstract,''),'[A-Za-z0-9]+'))) w, "
               "generate_subscripts(regexp_extract_all(coalesce(abstract,''),'[A-Za-z0-9]+'),1) p from raw_papers)")
     q["ingest_lexicon_delta"] = (

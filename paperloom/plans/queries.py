@@ -11,7 +11,7 @@ from paperloom.functions.ids import graph_key, metadata_key
 from paperloom.functions.text import clean_line, content_line, content_tokens, tokens, trainer_tokens
 from paperloom.operators import associations, expand, graph, index, ingest, metadata, multivalue, orphans, search, suggest
 from paperloom.plans import fixtures
-from paperloom.runtime import cut, read_table
+from paperloom.runtime import read_table, store
 from paperloom.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,7 +111,7 @@ def lexicon(s, d):
 
 @query
 def forward_index(s, d):
-    post = cut(_post(s, d))
+    post = store(_post(s, d))
     return index.forward_index(post, index.lexicon(fixtures.corpus(s, d)))
 
 
@@ -326,7 +326,7 @@ def query_synonyms(s, d):
 @query
 def expanded_search(s, d):
     docs = fixtures.corpus(s, d)
-    post, lengths, meta = cut(index.postings(docs)), index.doc_lengths(docs), fixtures.corpus_metadata(s, d)
+    post, lengths, meta = store(index.postings(docs)), index.doc_lengths(docs), fixtures.corpus_metadata(s, d)
     no_links = s.createDataFrame([], "doc_id long, score double")
     syns = expand.synonyms(assoc_top20(s, d), EXPANDED)
     extra = expand.synonym_hits(syns, post, lengths, no_links)
@@ -348,7 +348,7 @@ def ingest_parse(s, d):
 
 @query
 def ingest_title_fallback(s, d):
-    texts = read_table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value")).filter("value rlike '^[A-Z]'")
+    texts = read_table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value"))
     return ingest.parse_uploads(texts).select("doc_id", "title", "authors", "date", "original_id")
 
 

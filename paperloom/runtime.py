@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -44,13 +46,54 @@ def ship(spark: SparkSession) -> None:
     sc._paperloom_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` in the shared checkpoint folder and forget how it was made.
+def _work_folder(spark: SparkSession) -> str:
+    """This session's folder for written tables, removed when the driver ends."""
+    sc = spark.sparkContext
+    folder = getattr(sc, "_paperloom_folder", None)
+    if folder is None:
+        folder = sc._paperloom_folder = f"{checkpoint_dir(spark)}/paperloom-{uuid.uuid4().hex}"
+        atexit.register(discard, spark, folder)
+    return folder
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a written table; silently nothing if the session has already gone."""
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the session is being torn down
+        pass
 
-    Unlike a cached or locally checkpointed frame, the result survives lost executors.
+
+def store(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Every row is computed once, and later plans read single columns; an eager
+    ``checkpoint()`` would run the last stage twice. For results that are dear to compute.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{_work_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame, keep_layout: bool = False) -> DataFrame:
+    """Materialize ``df`` by ``checkpoint()`` in the shared folder and forget how it was made.
+
+    Unlike a cached or locally checkpointed frame, the result survives lost executors. For
+    the small states of loops, whose last stage is cheap. ``keep_layout`` lets later plans
+    see how ``df`` is partitioned and sorted, so that they need not shuffle it again; the
+    step then runs without adaptive planning, which would hide the layout.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    if keep_layout:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,13 +106,13 @@ def dense_ids(df: DataFrame, order: list, name: str = "dense_id") -> DataFrame:
 
     Rows are range-partitioned and sorted; each gets its place inside its partition, and
     the partition's offset (a prefix sum over one count per partition, the only thing that
-    reaches the driver) is added. The ranged rows are checkpointed first, so the two
+    reaches the driver) is added. The ranged rows are written first, so the two
     passes see the same ranges even if an executor is lost in between.
     ``order`` must be a total order for the numbering to be deterministic.
     Empty input gives an empty result; null keys sort first.
     """
     spark = df.sparkSession
-    ranged = cut(
+    ranged = store(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("__mono", F.monotonically_increasing_id())
