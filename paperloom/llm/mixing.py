@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperloom.runtime import cut
+from paperloom.runtime import cut, store
 
 #: Blocks a source is cut into for its permutation.
 BLOCKS = 4096
@@ -83,7 +83,7 @@ def plan(tokens: dict[str, int], weights: dict[str, float], repeats: dict[str, i
 def mix(sized: DataFrame, targets: DataFrame, budget: float | None = None, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
     """The mixture and its report.
 
-    ``sized`` is (doc_id, source, n_tokens) with one row per record; ``targets`` is
+    ``sized`` is (doc_id, source, n_tokens) with one row per record, other columns are left out; ``targets`` is
     (source, weight, max_repeats), whose size is that of the mixture's plan and is held on
     the driver together with one token sum per targeted source. The mixture is (doc_id,
     source, n_tokens, uses): rows with uses >= 1. The report is (source, weight, max_repeats,
@@ -97,7 +97,8 @@ def mix(sized: DataFrame, targets: DataFrame, budget: float | None = None, block
     all tasks, and its edge block holds 1/``blocks`` of it.
     """
     spark = sized.sparkSession
-    rows = sized.withColumn("source", source_name(F.col("source"))).filter("source is not null and n_tokens > 0")
+    sized = store(sized.select("doc_id", source_name(F.col("source")).alias("source"), "n_tokens"))  # sizes are dear: take them once
+    rows = sized.filter("source is not null and n_tokens > 0")
     goal = {r["source"]: (r["weight"], r["max_repeats"]) for r in (
         targets.withColumn("source", source_name(F.col("source"))).filter("source is not null and weight > 0")
         .groupBy("source").agg(F.sum("weight").alias("weight"), F.coalesce(F.min("max_repeats"), F.lit(1)).alias("max_repeats"))).collect()}
