@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.operators.multivalue import split_names
-from paperloom.runtime import cut, ship
+from paperloom.runtime import cut, ship, store
 
 #: Least cosine of two family forms, least average similarity of two clusters that merge.
 COSINE, LINKAGE = 0.3, 0.15
@@ -213,13 +213,13 @@ def alike_families(families: DataFrame, threshold: float = COSINE) -> DataFrame:
     forms = families.select("kind", "family").distinct()
     padded = F.concat(F.lit("^"), F.col("family"), F.lit("$"))
     places = F.transform(F.sequence(F.lit(1), F.length("family")), lambda i: F.struct(i.alias("pos"), padded.substr(i, F.lit(GRAM)).alias("gram")))
-    grams = cut(forms.select("kind", "family", F.explode(places).alias("p")).select("kind", "family", "p.pos", "p.gram"))
+    grams = store(forms.select("kind", "family", F.explode(places).alias("p")).select("kind", "family", "p.pos", "p.gram"))
     n = forms.count()
     df = grams.select("kind", "gram", "family").distinct().groupBy("kind", "gram").agg(F.count("*").alias("df"))
     # one weight per trigram and family: idf times count, at its first place
     per = grams.groupBy("kind", "family", "gram").agg(F.count("*").alias("tf"), F.collect_set("pos").alias("at")).join(df, ["kind", "gram"])
     weighted = per.withColumn("w", F.col("tf") * F.log1p(F.lit(float(max(n, 1))) / F.col("df")))
-    vectors = cut(
+    vectors = store(
         weighted.groupBy("kind", "family").agg(F.sort_array(F.collect_list(F.struct("df", "gram", "w", "at"))).alias("v"))
         .withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"])))
     )
@@ -286,7 +286,7 @@ def average_linkage(pairs: DataFrame, threshold: float = LINKAGE) -> DataFrame:
     of smaller names, which makes the nearest pair of all mutual: each round merges some.
     Each round is checkpointed.
     """
-    links = cut(pairs)
+    links = store(pairs)
     member = links.select(F.explode(F.array("a", "b")).alias("name")).distinct().select("name", F.col("name").alias("cluster"))
     member = cut(member)
     sizes = member.select(F.col("cluster").alias("id"), F.lit(1).cast("long").alias("n"))
@@ -320,7 +320,7 @@ def author_values(*tables: DataFrame) -> DataFrame:
 def link_names(names: DataFrame) -> DataFrame:
     """(name, cluster) of the names that have another spelling; ``cluster`` is the smallest
     spelling. Names are compared as distinct values; empty tables give no rows."""
-    read = cut(readings(names))
+    read = store(readings(names))
     links = alike_families(read.filter("first or kind = 'p'"))
     clusters = average_linkage(name_pairs(read, links))
     shared = clusters.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1").select("cluster")

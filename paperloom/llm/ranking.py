@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.runtime import cut, dense_ids
+from paperloom.runtime import dense_ids, store
 
 
 def positions(df: DataFrame, group: str, item: str, scores: list[str]) -> DataFrame:
@@ -24,7 +24,7 @@ def positions(df: DataFrame, group: str, item: str, scores: list[str]) -> DataFr
     df = out = df.select(group, item, *scores)
     for s in scores:
         out = dense_ids(out, [F.col(group), F.desc(s), F.col(item)], f"__{s}")
-    out = cut(out)
+    out = store(out)
     starts = out.groupBy(group).agg(F.count("*").alias("n"), F.min(f"__{scores[0]}").alias("__start"))
     placed = out.join(starts, group)
     return placed.select(

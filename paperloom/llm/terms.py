@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.runtime import cut, ship
+from paperloom.runtime import ship, store
 
 RARE_DOCS, COMMON_SHARE = 2, 0.1
 #: A word is heavy if it holds at least this share of the cells; at most 1/HEAVY_SHARE are.
@@ -91,7 +91,7 @@ def term_table(index: DataFrame, lexicon: DataFrame) -> DataFrame:
     have zeros and no mark. ``mark`` is ``rare`` up to 2 documents, ``common`` above a
     tenth of the documents with a counted row, else null; in a collection so small that a
     word is both, it is ``rare``. Empty tables give no rows."""
-    cell = cut(cells(index, lexicon))
+    cell = store(cells(index, lexicon))
     n_docs = cell.groupBy("doc_id").count().count()
     counts = count_terms(cell)
     words = words_by_id(lexicon).select("word").distinct()
