@@ -191,44 +191,52 @@ _SLOT = "|".join((
     r"\[\s*(?i:insert|enter|your|todo|tbd)\b[^\[\]\n]{0,80}\]", r"\[\s*(?i:[a-z]+ (?:name|number|title|date|address|here|not supplied))\s*\]",
     r"(?<=: )_{6,}", r"\[(?i:object object)\]",
 ))
-_TOKEN = re.compile(rf"(?P<slot>{_SLOT})|(?P<gap>[\n\r.!?;:。！？]+)|(?P<word>\?\?|[^\W\d_]+(?:['’][^\W\d_]+)*|\d+(?:[.,]\d+)*)")
+# Words come first: no slot begins with a letter or digit, and most tokens are words.
+_TOKEN = re.compile(
+    rf"(?P<word>[^\W\d_]+(?:['\u2019][^\W\d_]+)*)|(?P<num>\d+(?:[.,]\d+)*)|(?P<gap>[\n\r.!?;:\u3002\uff01\uff1f]+)(?<!\?\?)"
+    rf"|(?=[{{<$#%@_\[])(?P<slot>{_SLOT})|(?P<open>\?\?)"
+)
 _HAN = re.compile(r"[㐀-鿿]")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _SLOT_TOKEN, _NUMBER = "<slot>", "0"
 
 
 def tokenize(text: str) -> tuple[list[str], list[bool]]:
     """Lower-case tokens and, for each, whether a passage begins there. Numbers are one
-    token, unfilled slots another; Han characters stand alone; a slot's own words follow
-    it, since instructions often stand inside a slot."""
+    token, unfilled slots another, as is a doubled question mark; Han characters stand
+    alone; a slot's own words follow it, since instructions often stand inside a slot."""
     out: list[str] = []
     starts: list[bool] = []
+    add, mark = out.append, starts.append
     fresh = True
-
-    def add(w: str) -> None:
-        nonlocal fresh
-        out.append(w)
-        starts.append(fresh)
-        fresh = False
-
     for m in _TOKEN.finditer(text):
         kind, w = m.lastgroup, m[0]
-        if kind == "gap":
+        if kind == "word":
+            if w.isascii():
+                w = w.lower()
+                add("xx" if w[0] == "x" and len(w) > 1 and not w.strip("x") else w)
+                mark(fresh)
+            else:
+                for x in re.findall(r"[㐀-鿿]|[^㐀-鿿]+", w) if _HAN.search(w) else (w,):
+                    add(x.lower().replace("\u2019", "'"))
+                    mark(fresh)
+                    fresh = False
+            fresh = False
+        elif kind == "gap":
             fresh = True
         elif kind == "slot":
-            fresh = True
             add(_SLOT_TOKEN)
+            mark(True)
+            fresh = False
             if w[0] == "[" and w[1] != "[":
-                for x in re.findall(r"[^\W\d_]+", w):
+                for x in _LETTERS.findall(w):
                     add(x.lower())
+                    mark(False)
             fresh = True
-        elif w[0].isdigit():
-            add(_NUMBER)
-        elif _HAN.search(w):
-            for x in re.findall(r"[㐀-鿿]|[^㐀-鿿]+", w):
-                add(x.lower())
         else:
-            w = w.lower().replace("’", "'")
-            add("xx" if len(w) > 1 and not w.strip("x") else w)
+            add(_NUMBER if kind == "num" else w)
+            mark(fresh)
+            fresh = False
     return out, starts
 
 
