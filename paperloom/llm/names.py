@@ -2,8 +2,9 @@
 
 Names are read into family, given names, suffix and kind. Family forms become IDF-weighted
 character-trigram vectors; a distributed cosine join over the rarest trigrams finds those
-alike; names of alike families are compared exactly and grouped by average linkage, run as
-rounds of merging mutual nearest neighbours.
+alike, and a join over forms with one letter left out finds all that one edit parts, whatever
+their cosine; names of linked families are compared exactly and grouped by average linkage,
+run as rounds of merging mutual nearest neighbours.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from paperloom.runtime import cut, ship, store
 #: Least cosine of two family forms, least average similarity of two clusters that merge.
 COSINE, LINKAGE = 0.3, 0.15
 GRAM = 3
+#: Family forms shorter than this must be equal.
+EDITABLE = 4
 
 # Short forms and the given names they stand for.
 NICKNAMES = {
@@ -161,7 +164,7 @@ def similarity(a: tuple[str, str, str, str], b: tuple[str, str, str, str]) -> fl
     if a[0] != b[0] or a[3] != b[3]:
         return None
     f = one_edit(a[1], b[1])
-    if f > 1 or (f and min(len(a[1]), len(b[1])) < 4):
+    if f > 1 or (f and min(len(a[1]), len(b[1])) < EDITABLE):
         return None
     if a[0] == "g":
         return 1 - 0.15 * f
@@ -243,6 +246,26 @@ def alike_families(families: DataFrame, threshold: float = COSINE) -> DataFrame:
     return pairs.join(va, ["kind", "fa"]).join(vb, ["kind", "fb"]).select("kind", "fa", "fb", dot.alias("cosine")).filter(F.col("cosine") >= threshold)
 
 
+def one_edit_families(families: DataFrame) -> DataFrame:
+    """(kind, fa, fb): family forms of at least ``EDITABLE`` letters, fa < fb, one insertion,
+    deletion, substitution or swap of neighbours apart (see ``one_edit``).
+
+    Two such forms always share a key among themselves and their forms with one letter left
+    out, whatever else the corpus holds. A key stands for at most as many forms as letters
+    can be put into it, so no key grows with the rows.
+    """
+    forms = families.select("kind", "family").distinct().filter(F.length("family") >= EDITABLE)
+    places = F.sequence(F.lit(1), F.length("family"))
+    shorter = F.transform(places, lambda i: F.concat(F.substring("family", F.lit(1), i - 1), F.substring("family", i + 1, F.length("family"))))
+    keyed = forms.select("kind", "family", F.explode(F.array_distinct(F.concat(F.array("family"), shorter))).alias("key"))
+    left, right = keyed.withColumnRenamed("family", "fa"), keyed.withColumnRenamed("family", "fb")
+    swapped = lambda i: F.concat(*[F.substring("fa", at, n) for at, n in (
+        (F.lit(1), i - 1), (i + 1, F.lit(1)), (i, F.lit(1)), (i + 2, F.length("fa")))])
+    swap = (F.length("fa") == F.length("fb")) & F.exists(F.sequence(F.lit(1), F.length("fa") - 1), lambda i: swapped(i) == F.col("fb"))
+    close = (F.levenshtein("fa", "fb", 1) >= 0) | swap  # keys also bring together other forms two edits apart
+    return left.join(right, ["kind", "key"]).filter((F.col("fa") < F.col("fb")) & close).select("kind", "fa", "fb").distinct()
+
+
 def _judge(batches):
     names = ["a", "b", "s"]
     for batch in batches:
@@ -321,7 +344,8 @@ def link_names(names: DataFrame) -> DataFrame:
     """(name, cluster) of the names that have another spelling; ``cluster`` is the smallest
     spelling. Names are compared as distinct values; empty tables give no rows."""
     read = store(readings(names))
-    links = alike_families(read.filter("first or kind = 'p'"))
+    families = read.filter("first or kind = 'p'").select("kind", "family").distinct()
+    links = store(alike_families(families).select("kind", "fa", "fb").unionByName(one_edit_families(families)).distinct())
     clusters = average_linkage(name_pairs(read, links))
     shared = clusters.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1").select("cluster")
     return clusters.join(shared, "cluster", "left_semi")

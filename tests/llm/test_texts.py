@@ -169,6 +169,26 @@ def test_alike_families_against_brute_force(spark):
     assert all(abs(c - cos(*p)) < 1e-9 for p, c in found.items())
 
 
+def test_one_edit_families_against_brute_force(spark):
+    r = random.Random(4)
+    words = {"".join(r.choice("abé") for _ in range(r.randint(2, 7))) for _ in range(150)} | {"a🙂bc", "a🙂cb", "abc🙂"}
+    table = spark.createDataFrame([(k, w) for k in ("p", "g") for w in words] * 2, "kind string, family string")
+    expected = sorted((k, a, b) for k in ("p", "g") for a in words for b in words
+                      if a < b and names.one_edit(a, b) == 1 and min(len(a), len(b)) >= names.EDITABLE)
+    assert rows(names.one_edit_families(table)) == expected
+    assert names.one_edit_families(table.limit(0)).count() == 0
+
+
+def test_names_are_linked_whatever_the_cosine(spark):
+    """Common trigrams weigh little beside those a typo makes, the less the more names there are."""
+    r = random.Random(6)
+    others = ["Anton Kal" + "".join(r.choice("bdfgpt") for _ in range(6)) + "mar" for _ in range(300)]
+    table = spark.createDataFrame([(n,) for n in ["Theodore Kalomar", "Theodore Kalumar", *others]], "name string").distinct()
+    families = names.readings(table).select("kind", "family").distinct()
+    assert names.alike_families(families).filter("fa = 'kalomar' and fb = 'kalumar'").count() == 0
+    assert ("Theodore Kalomar", "Theodore Kalumar") in rows(names.spelling_pairs(names.link_names(table)))
+
+
 RESIDUE = [
     "Please enable JavaScript to view this paper.", "PLEASE ENABLE JAVASCRIPT TO VIEW THIS PAPER.", "404 Not Found", "A fine text. Insert acknowledgements here. More text.",
     "Results hold. Cite as: ${citation}. Then more.", "Received %DATE%, accepted %DATE%.", "{{title}}\n\n{{authors}}", "TBD", "Lorem ipsum dolor quasi tenor vitae novum.",
