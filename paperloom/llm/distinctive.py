@@ -20,13 +20,14 @@ def title_words(meta: DataFrame) -> DataFrame:
 
 
 def residuals(cell: DataFrame, titles: DataFrame) -> DataFrame:
-    """(doc_id, word, freq, docs, indexed, titled, residual) for each word of each document.
+    """(doc_id, word, freq, docs, total, indexed, titled, residual) for each word of each document.
 
     The table has one cell per document and word: the index count, or 1 for a word that
     only the title has (``indexed`` false). The adjusted residual is
     ``(o - e) / sqrt(e (1 - r/N) (1 - c/N))`` with row sum r, column sum c, grand total N
     and ``e = r c / N``; a margin equal to N leaves no variance and gives 0. ``docs``
-    counts the indexed documents of the word, ``freq`` the indexed count (0 if none).
+    counts the indexed documents of the word, ``freq`` the indexed count (0 if none),
+    ``total`` is the column sum.
     Margins are partial sums by key; N is one number.
     """
     both = (
@@ -43,7 +44,7 @@ def residuals(cell: DataFrame, titles: DataFrame) -> DataFrame:
     spread = e * (1 - F.col("r") / n) * (1 - F.col("c") / n)
     score = F.when(spread > 0, (F.col("o") - e) / F.sqrt(spread)).otherwise(F.lit(0.0))
     return table.join(cols, "word").join(rows, "doc_id").select(
-        "doc_id", "word", "freq", "docs", (F.col("freq") > 0).alias("indexed"), (F.col("t") == 1).alias("titled"),
+        "doc_id", "word", "freq", "docs", F.col("c").alias("total"), (F.col("freq") > 0).alias("indexed"), (F.col("t") == 1).alias("titled"),
         score.alias("residual"))
 
 
@@ -58,6 +59,13 @@ def beyond_doubt(scored: DataFrame) -> DataFrame:
     words of its document, each alone, in documents of at least two indexed words, and
     also in a title.
 
+    Candidates of a document are its word of highest residual and the words whose column
+    sum is larger than that word's. No case is outside them: in one document the residual
+    grows with the count and falls with the column sum, and a case has the highest count
+    alone, so it has a higher residual than every word of an equal or larger column sum.
+    (A single document, whose residuals are all 0, has its counts as column sums.) The
+    residual can't decide alone, since few documents may still have a large column sum.
+
     One partial aggregate per document keeps the extremes; ties show as two different
     words at an extreme. No document's words are gathered.
     """
@@ -65,10 +73,12 @@ def beyond_doubt(scored: DataFrame) -> DataFrame:
     low = F.struct((-F.col("freq")).alias("k"), "word")
     per = own.groupBy("doc_id").agg(
         F.count("*").alias("n"),
-        F.max(F.struct("freq", "word")).alias("hi"), F.min(low).alias("hi2"),
+        F.max(F.struct("residual", (-F.col("total")).alias("k"), "word")).alias("first"),
+        F.max(F.struct("freq", "word", "total")).alias("hi"), F.min(low).alias("hi2"),
         F.min(F.struct("docs", "word")).alias("lo"), F.max(F.struct((-F.col("docs")).alias("k"), "word")).alias("lo2"),
         F.max(F.struct("freq", F.col("word").alias("w"), "titled")).alias("top"),
     )
     alone = (F.col("hi.word") == F.col("hi2.word")) & (F.col("lo.word") == F.col("lo2.word"))
-    return per.filter((F.col("n") >= 2) & alone & (F.col("hi.word") == F.col("lo.word")) & F.col("top.titled")).select(
+    candidate = (F.col("hi.word") == F.col("first.word")) | (F.col("hi.total") > -F.col("first.k"))
+    return per.filter(candidate & (F.col("n") >= 2) & alone & (F.col("hi.word") == F.col("lo.word")) & F.col("top.titled")).select(
         "doc_id", F.col("hi.word").alias("word"))

@@ -125,6 +125,28 @@ def test_beyond_doubt(spark):
     assert rows(distinctive.beyond_doubt(scored)) == [(1, "apple")]  # 2 and 4 tie, 3 has one word
 
 
+def test_beyond_doubt_takes_candidates_from_residuals(spark):
+    """Against the plain definition, also where a rare word has a large column sum."""
+    r = random.Random(11)
+    data = {(d, w): r.choice([1, 1, 2, 3, 5, 8, 400]) for d in range(150) for w in r.sample("abcdefghijkl", r.randint(1, 5))}
+    data |= {(150, "p"): 6, (150, "q"): 5, (151, "p"): 4000, (152, "q"): 1, (153, "q"): 1}
+    docs = Counter(w for _, w in data)
+    titles = {(d, w) for d in range(150) for w in r.sample("abcdefghijklxyz", 6)} | {(150, "p")}
+    expected = []
+    for d in range(154):
+        own = {w: f for (e, w), f in data.items() if e == d}
+        hi, lo = [w for w in own if own[w] == max(own.values())], [w for w in own if docs[w] == min(docs[v] for v in own)]
+        if len(own) > 1 and len(hi) == 1 and hi == lo and (d, hi[0]) in titles:
+            expected.append((d, hi[0]))
+    cell = spark.createDataFrame([(d, w, f) for (d, w), f in data.items()], "doc_id long, word string, freq long")
+    scored = distinctive.residuals(cell, spark.createDataFrame(sorted(titles), "doc_id long, word string"))
+    found = distinctive.beyond_doubt(scored)
+    assert rows(found) == expected and len(expected) > 5
+    tops = {x["doc_id"]: x["w"] for x in scored.filter("indexed").groupBy("doc_id").agg(F.max_by("word", "residual").alias("w")).collect()}
+    assert any(tops[d] != w for d, w in expected)  # the highest residual alone would lose these
+    assert "SQRT" in found._jdf.queryExecution().optimizedPlan().toString()  # residuals are computed
+
+
 def test_temper_and_plan():
     q = {"a": 0.7, "b": 0.2, "c": 0.1}
     a = mixing.exponent_for_entropy(q, 1.0)
