@@ -21,8 +21,9 @@ from paperloom.runtime import ship
 
 #: Share of an exemplar's weight a window must hold; for mentions, a smaller share vetoes.
 COVERAGE, VETO = 0.8, 0.6
-#: Tokens around a match in which a mention vetoes it; consecutive filler words that count.
-AROUND, FILLER_RUN = 14, 6
+#: Tokens around a match in which a mention vetoes it; consecutive filler words that count,
+#: and those that count as a passage of their own.
+AROUND, FILLER_RUN, FILLER_ALONE = 14, 6, 3
 
 # Labelled exemplars, one a line. `*` stands for one open word, `<slot>` for an unfilled
 # slot. A line that starts with `=` is short: it must be a passage of its own.
@@ -121,6 +122,13 @@ this is placeholder text
 the work was done at institution name with support of grant number
 submission 0 <slot> <slot> received <slot>
 <slot>
+lorem ipsum dolor sit amet
+consectetur adipiscing elit
+sed do eiusmod tempor incididunt ut labore et dolore magna aliqua
+ut enim ad minim veniam quis nostrud exercitation
+duis aute irure dolor in reprehenderit in voluptate velit
+excepteur sint occaecat cupidatat non proident
+sunt in culpa qui officia deserunt mollit anim id est laborum
 =loading * viewer
 =access denied
 =0 forbidden
@@ -318,6 +326,24 @@ class Matcher:
         first = any(starts[j] for j in range(max(0, a - 2), a + 1)) or a == 0
         return first and (b >= len(starts) or starts[b])
 
+    def _filler_runs(self, tokens: list[str], starts: list[bool]) -> list[tuple[int, int]]:
+        """Spans of at least ``FILLER_RUN`` consecutive words of one filler family, or of
+        ``FILLER_ALONE`` with nothing else in the passage."""
+        out, start, last = [], 0, -1
+        for at, w in enumerate([*tokens, ""]):
+            f = self.filler_of.get(w, -1)
+            if f != last:
+                alone = at - start >= FILLER_ALONE and starts[start] and (at == len(tokens) or starts[at])
+                if last >= 0 and (at - start >= FILLER_RUN or alone):
+                    out.append((start, at))
+                start, last = at, f
+        return out
+
+    def _mentioned(self, tokens: list[str], hits: list[tuple[int, int]], a: int, b: int) -> bool:
+        """Whether an exemplar labelled as a mention is found around [a, b)."""
+        lo, hi = max(0, a - AROUND), min(len(tokens), b + AROUND)
+        return any(self._window(j, tokens, lo, hi)[0] >= VETO for j in {j for q, j in hits if lo <= q < hi and not self.items[j].residue})
+
     def matches(self, text: str) -> bool:
         """Whether a text holds residue."""
         return self.first_match(text) is not None
@@ -327,14 +353,10 @@ class Matcher:
         tokens, starts = tokenize(text)
         if not tokens:
             return None
-        run, last = 0, -1
-        for w in tokens:
-            f = self.filler_of.get(w, -1)
-            run = 0 if f < 0 else run + 1 if f == last else 1
-            last = f
-            if run >= FILLER_RUN:
-                return "filler"
         hits = [(p, i) for p, w in enumerate(tokens) if w in self.index for i in self.index[w]]
+        for a, b in self._filler_runs(tokens, starts):
+            if not self._mentioned(tokens, hits, a, b):
+                return "filler"
         done: set[tuple[int, int]] = set()
         for p, i in hits:
             e = self.items[i]
@@ -347,8 +369,7 @@ class Matcher:
             done.add((a, i))
             if e.alone and not self._stands_alone(i, starts, a, b):
                 continue
-            lo, hi = max(0, a - AROUND), min(len(tokens), b + AROUND)
-            if not any(self._window(j, tokens, lo, hi)[0] >= VETO for q, j in hits if lo <= q < hi and not self.items[j].residue):
+            if not self._mentioned(tokens, hits, a, b):
                 return " ".join(e.tokens)
         return None
 

@@ -223,3 +223,14 @@ def test_prefix_index_loses_nothing():
             words = [w for j, w in enumerate(e.tokens) if j != drop]
             score, _, _ = m._window(i, words, 0, len(words))
             assert score < m.coverage or any(i in m.index.get(w, ()) for w in words)
+
+
+def test_filler_runs_and_short_fillers():
+    m = residue.Matcher({}, 1000)
+    for text in ("A fine text. Lorem ipsum dolor sit amet. More of it.", "The scan shows that lorem ipsum dolor sit amet holds for all.",
+                 "We ran it. Bla bla bla bla bla. It held.", "So we saw. Sed do eiusmod tempor incididunt."):
+        assert m.matches(text), text
+    for text in ("The filler phrase lorem ipsum dolor sit amet consectetur serves as a control stimulus in our reading study.",
+                 "The filler phrase lorem ipsum dolor sit amet serves as a control stimulus in our reading study.",
+                 "We test testing in labor wards. A sample. In vitro, do it."):
+        assert not m.matches(text), text
