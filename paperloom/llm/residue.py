@@ -192,11 +192,12 @@ FILLERS = (
     "sample",
 )
 
+# No pattern is bounded in length: each scan ends at the next opening sign or line end.
 _SLOT = "|".join((
-    r"\{\{\s*[A-Za-z_][\w.-]*(?:[ |][\w.-]+)*\s*\}\}", r"\{%.{0,200}?%\}", r"<%.{0,200}?%>", r"[$#]\{[^{}\n]{1,80}\}",
-    r"%[A-Z][A-Z_]{2,40}%", r"<<\s*[A-Za-z][\w ]{1,40}>>", r"@@\w{1,40}@@", r"(?<!\w)__[A-Z][A-Z_]{1,40}__(?!\w)", r"\[\[\s*[A-Z][A-Z_ ]{2,40}\]\]",
-    r"(?<![\w$#{\\])\{(?:[A-Za-z]+(?:_[A-Za-z]+)+|[A-Za-z]{4,30})\}(?!\})", r"<\s*(?i:insert|enter|your)\s[^<>\n]{1,60}>",
-    r"\[\s*(?i:insert|enter|your|todo|tbd)\b[^\[\]\n]{0,80}\]", r"\[\s*(?i:[a-z]+ (?:name|number|title|date|address|here|not supplied))\s*\]",
+    r"\{\{\s*[A-Za-z_][\w.-]*(?:(?: +| *\| *)[\w.-]+)*\s*\}\}", r"\{%(?:(?!\{%).)*?%\}", r"<%(?:(?!<%).)*?%>", r"[$#]\{[^{}\n]+\}",
+    r"%[A-Z][A-Z_]{2,}%", r"<<\s*[A-Za-z][\w ]+>>", r"@@\w+@@", r"(?<!\w)__[A-Z][A-Z0-9_]+__(?!\w)", r"\[\[\s*[A-Z][A-Z_ ]{2,}\]\]",
+    r"(?<![\w$#{\\])\{(?:[A-Za-z]+(?:_[A-Za-z]+)+|[A-Za-z]{4,})\}(?!\})", r"<\s*(?i:insert|enter|your)\s[^<>\n]+>",
+    r"\[\s*(?i:insert|enter|your|todo|tbd)\b[^\[\]\n]*\]", r"\[\s*(?i:[a-z]+ (?:name|number|title|date|address|here|not supplied))\s*\]",
     r"(?<=: )_{6,}", r"\[(?i:object object)\]",
 ))
 # Words come first: no slot begins with a letter or digit, and most tokens are words.
@@ -321,6 +322,25 @@ class Matcher:
                 best = (got, max(lo, gone + 1), at + 1)
         return best[0] / self.weight[i], best[1], best[2]
 
+    def _windows_alone(self, i: int, tokens: list[str], starts: list[bool], lo: int, hi: int) -> list[tuple[int, int]]:
+        """Windows of exemplar ``i`` within [lo, hi) that reach the coverage and stand alone,
+        as they are or without what isn't the exemplar's at their ends."""
+        k, e = self.counts[i], self.items[i]
+        size = len(e.tokens) + e.open_words + (0 if len(e.tokens) < 4 else 2)
+        out = []
+        for end in range(lo + 1, hi + 1):
+            a, b = max(lo, end - size), end
+            have = Counter(w for w in tokens[a:b] if w in k)
+            if sum(self.idf[w] * min(c, k[w]) for w, c in have.items()) < self.coverage * self.weight[i]:
+                continue
+            first, last = a, b
+            while tokens[first] not in k:
+                first += 1
+            while tokens[last - 1] not in k:
+                last -= 1
+            out += [x for x in ((a, b), (first, last)) if self._stands_alone(i, starts, *x)][:1]
+        return out
+
     def _stands_alone(self, i: int, starts: list[bool], a: int, b: int) -> bool:
         """Nothing but up to two symbols' leftovers before, nothing after, in the passage."""
         first = any(starts[j] for j in range(max(0, a - 2), a + 1)) or a == 0
@@ -364,13 +384,15 @@ class Matcher:
                 continue
             reach = len(e.tokens) + e.open_words + 2
             score, a, b = self._window(i, tokens, max(0, p - reach), min(len(tokens), p + reach))
-            if score < self.coverage or (a, i) in done:
-                continue
-            done.add((a, i))
-            if e.alone and not self._stands_alone(i, starts, a, b):
+            if score < self.coverage:
                 continue
-            if not self._mentioned(tokens, hits, a, b):
-                return " ".join(e.tokens)
+            spans = self._windows_alone(i, tokens, starts, max(0, p - reach), min(len(tokens), p + reach)) if e.alone else [(a, b)]
+            for a, b in spans:
+                if (a, i) in done:
+                    continue
+                done.add((a, i))
+                if not self._mentioned(tokens, hits, a, b):
+                    return " ".join(e.tokens)
         return None
 
 

@@ -234,3 +234,20 @@ def test_filler_runs_and_short_fillers():
                  "The filler phrase lorem ipsum dolor sit amet serves as a control stimulus in our reading study.",
                  "We test testing in labor wards. A sample. In vitro, do it."):
         assert not m.matches(text), text
+
+
+def test_stand_alone_after_running_text():
+    m = residue.Matcher({}, 1000)
+    for text in ("The server returned page not found. Page not found", "It was said that page not found. Then page not found again. Page not found.",
+                 "We did all of this work very well over there. 500 Internal Server Error. It held."):
+        assert m.matches(text), text
+    for text in ("The server returned page not found twice.", "The page not found here and the page not found there are two."):
+        assert not m.matches(text), text
+
+
+def test_slots_of_any_length():
+    m = residue.Matcher({}, 1000)
+    for slot in ("{% if " + "a and " * 60 + "b %}", "${" + "name." * 40 + "x}", "{{ title | upper }}", "{{ title|upper | trim }}", "__TITLE_2__", "[TODO: " + "add it " * 30 + "]"):
+        assert residue.tokenize(f"It is {slot} so.")[0][2] == "<slot>", slot
+        assert m.matches(f"It runs well. {slot} We go on."), slot
+    assert "<slot>" not in residue.tokenize("{% never closed " * 20000 + "<% " * 20000)[0]
