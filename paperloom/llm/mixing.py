@@ -80,8 +80,17 @@ def plan(tokens: dict[str, int], weights: dict[str, float], repeats: dict[str, i
     return {s: min(full[s], int(budget * x + 1e-6)) for s, x in shares.items()}, a
 
 
-def mix(sized: DataFrame, targets: DataFrame, budget: float | None = None, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
-    """The mixture and its report.
+def usable_tokens(tokens: dict[str, int], weights: dict[str, float], repeats: dict[str, int]) -> int:
+    """Tokens of the sources that may be used at all: one pass over all of them is always
+    within their limits, at exponent 0."""
+    return sum(t for s, t in tokens.items() if t > 0 and weights.get(s, 0) > 0 and repeats.get(s, 0) > 0)
+
+
+def mix(
+    sized: DataFrame, targets: DataFrame, budget: float | None = None, blocks: int = BLOCKS, passes: float | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The mixture and its report. ``passes`` gives the budget as a multiple of
+    ``usable_tokens``, instead of ``budget``; the report then has the exponent, too.
 
     ``sized`` is (doc_id, source, n_tokens) with one row per record, other columns are left out; ``targets`` is
     (source, weight, max_repeats), whose size is that of the mixture's plan and is held on
@@ -106,7 +115,10 @@ def mix(sized: DataFrame, targets: DataFrame, budget: float | None = None, block
     rows = rows.join(known, "source").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(blocks)))
     per_block = cut(rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("t")))
     tokens = {r["source"]: r["t"] for r in per_block.groupBy("source").agg(F.sum("t").alias("t")).collect()}
-    budgets, _ = plan(tokens, {s: w for s, (w, _) in goal.items()}, {s: m for s, (_, m) in goal.items()}, budget)
+    weights, repeats = {s: w for s, (w, _) in goal.items()}, {s: m for s, (_, m) in goal.items()}
+    if passes is not None:
+        budget = passes * usable_tokens(tokens, weights, repeats)
+    budgets, exponent = plan(tokens, weights, repeats, budget)
 
     plans = spark.createDataFrame(
         [(s, b // tokens[s], b % tokens[s]) for s, b in budgets.items()], "source string, passes long, rest long")
@@ -135,4 +147,4 @@ def mix(sized: DataFrame, targets: DataFrame, budget: float | None = None, block
         "source", "weight", "max_repeats", "tokens", F.coalesce("used_tokens", F.lit(0)).cast("long").alias("used_tokens"),
         F.coalesce("records", F.lit(0)).cast("long").alias("records"), F.coalesce("most_uses", F.lit(0)).cast("long").alias("most_uses"),
         F.coalesce(F.col("used_tokens") / total, F.lit(0.0)).alias("share"))
-    return mixture, report
+    return mixture, report if passes is None else report.withColumn("exponent", F.lit(float(exponent)))

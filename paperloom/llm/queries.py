@@ -9,6 +9,9 @@ from paperloom.plans.queries import Query
 from paperloom.runtime import read_table
 
 REGISTRY: dict[str, Query] = {}
+#: Size of the sample tempered mixture, as a share of the usable tokens; at a full pass the
+#: sources that may not repeat leave nothing but the natural shares (exponent 0).
+TEMPERED = 0.8
 
 
 def query(f: Query) -> Query:
@@ -88,9 +91,9 @@ def p8_ids(s, d):
     return bpe.encode(read_table(s, d, "documents"))
 
 
-def _mix(s, d):
+def _mix(s, d, **size):
     sized = bpe.count_tokens(read_table(s, d, "documents"), ["doc_id", "source"])
-    return mixing.mix(sized, read_table(s, d, "mix_targets"))
+    return mixing.mix(sized, read_table(s, d, "mix_targets"), **size)
 
 
 @query
@@ -103,6 +106,16 @@ def p9_shares(s, d):
     return _mix(s, d)[1]
 
 
+@query
+def p9_tempered(s, d):
+    return _mix(s, d, passes=TEMPERED)[0]
+
+
+@query
+def p9_tempered_shares(s, d):
+    return _mix(s, d, passes=TEMPERED)[1]
+
+
 @query
 def p10_found(s, d):
     return residue.flag_residue(read_table(s, d, "documents")).filter("residue").select("doc_id")

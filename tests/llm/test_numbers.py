@@ -176,3 +176,19 @@ def test_mix(spark):
     assert rows(again) == rows(mixture)  # the permutation depends on ids only
     empty, rep = mixing.mix(df.limit(0), targets)
     assert empty.count() == 0 and rep.count() == 3
+
+
+def test_mix_of_corpus_size_is_tempered(spark):
+    """The exponent is bisected until no source passes its limit, one of them at it."""
+    from paperloom.llm.queries import REGISTRY
+
+    sized = [(i, "big" if i % 10 else "small", 10) for i in range(3000)] + [(9000, "barred", 500)]
+    df = spark.createDataFrame(sized, "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 3), ("barred", 0.1, 0)], "source string, weight double, max_repeats long")
+    mixture, report = mixing.mix(df, targets, blocks=16, passes=0.95)
+    got = {x["source"]: x for x in report.collect()}
+    assert 0 < got["big"]["exponent"] < 1 and got["barred"]["used_tokens"] == 0
+    assert got["big"]["used_tokens"] + got["small"]["used_tokens"] == pytest.approx(0.95 * 30000, abs=20)
+    assert 0.1 < got["small"]["share"] < 0.5 and got["big"]["most_uses"] == 1 and got["small"]["most_uses"] <= 3
+    assert mixture.agg(F.max("uses")).first()[0] <= 3
+    assert {"p9_tempered", "p9_tempered_shares"} <= set(REGISTRY)
