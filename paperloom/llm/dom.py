@@ -100,20 +100,23 @@ class Node:
 
 def _tags(text: str) -> list[Node]:
     out, open_tags = [], []
+    places: dict[str, list[int]] = {}  # of the open tags of each name
     for m in _TAG.finditer(text):
         name = m[2].lower()
         if m[1]:
-            for i in range(len(open_tags) - 1, max(-1, len(open_tags) - 64), -1):
+            if places.get(name):
+                i = places[name][-1]
                 o = open_tags[i]
-                if o.name == name:
-                    del open_tags[i:]
-                    out.append(Node(o.start, m.end(), "h_element", name, (o.end, m.start()), o.attrs))
-                    break
+                for t in open_tags[i:]:
+                    places[t.name].pop()
+                del open_tags[i:]
+                out.append(Node(o.start, m.end(), "h_element", name, (o.end, m.start()), o.attrs))
             else:
                 out.append(Node(m.start(), m.end(), "h_tag", name, (m.end(), m.end()), m[3], False))
         elif m[4] or m[3].endswith("/") or name in ("br", "hr", "img", "wbr"):
             out.append(Node(m.start(), m.end(), "h_tag", name, (m.end(), m.end()), m[3].rstrip("/")))
         else:
+            places.setdefault(name, []).append(len(open_tags))
             open_tags.append(Node(m.start(), m.end(), "h_tag", name, (m.end(), m.end()), m[3], False))
             out.append(open_tags[-1])
     elements = {n.start for n in out if n.kind == "h_element"}
@@ -152,7 +155,7 @@ def parse(text: str) -> list[Node]:
             name = lead[0].lstrip("\\") if lead else ""
             nodes.append(Node(s, e, kind, name, (s + (lead.end() if lead else 0), e)))
     at = [m.start() for m in _DOLLAR.finditer(text)]
-    nodes += [Node(a, b + 1, "t_dollar", "$", (a + 1, b)) for a, b in zip(at, at[1:]) if b - a <= 400]
+    nodes += [Node(a, b + 1, "t_dollar", "$", (a + 1, b)) for a, b in zip(at, at[1:])]
     nodes.sort(key=lambda n: (n.start, -n.end, KIND_ID[n.kind]))
     stack: list[Node] = []
     for n in nodes:
@@ -181,7 +184,10 @@ def features(text: str, nodes: list[Node]) -> list[list[float]]:
     density and what its siblings and the whole field look like."""
     by_kind = Counter(n.kind for n in nodes)
     by_lang = Counter(n.kind[0] for n in nodes)
-    roots = [n for n in nodes if n.parent is None]
+    # siblings by kind, by language and in all, counted once a parent
+    kinds = Counter((id(n.parent), n.kind) for n in nodes)
+    langs = Counter((id(n.parent), n.kind[0]) for n in nodes)
+    brood = Counter(id(n.parent) for n in nodes)
     size = max(len(text), 1)
     rows = []
     for n in nodes:
@@ -190,9 +196,7 @@ def features(text: str, nodes: list[Node]) -> list[list[float]]:
         before, after = text[n.start - 1 : n.start], text[n.end : n.end + 1]
         body = text[n.body[0] : n.body[1]]
         inner = body.strip("*_`'[]{}$|=# ")
-        siblings = n.parent.children if n.parent else roots
-        same = sum(1 for s in siblings if s.kind == n.kind) if len(siblings) < 400 else by_kind[n.kind]
-        alike = sum(1 for s in siblings if s.kind[0] == n.kind[0]) if len(siblings) < 400 else by_lang[n.kind[0]]
+        same, alike = kinds[id(n.parent), n.kind], langs[id(n.parent), n.kind[0]]
         attrs = n.attrs.strip()
         good = sum(len(m[0]) for m in _ATTR.finditer(n.attrs)) if attrs else 0
         line_start = not n.start or text[n.start - 1] == "\n"
@@ -222,7 +226,7 @@ def features(text: str, nodes: list[Node]) -> list[list[float]]:
             float(line_start), float(line_end), float(known), float(n.closed),
             float(bool(attrs)), good / max(len(n.attrs), 1) if attrs else 0.0, float(any(w in ("and", "or", "then", "is") for w in attrs.split())),
             float(n.depth), float(len(children)), covered / max(n.end - n.start, 1),
-            float(min(same, 20)), float(min(alike, 40)), same / max(len(siblings), 1), alike / max(len(siblings), 1),
+            float(min(same, 20)), float(min(alike, 40)), same / brood[id(n.parent)], alike / brood[id(n.parent)],
             float(by_lang[n.kind[0]] / max(len(nodes), 1)), (n.end - n.start) / size,
             float(n.parent is not None and n.parent.kind[0] == n.kind[0]), float(KIND_ID[n.parent.kind] + 1 if n.parent else 0),
             float(bool(_WIKI_START.match(text, n.start, n.end))), float(bool(_MARKDOWN_START.match(text, n.start, n.end))),

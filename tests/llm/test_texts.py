@@ -251,3 +251,20 @@ def test_slots_of_any_length():
         assert residue.tokenize(f"It is {slot} so.")[0][2] == "<slot>", slot
         assert m.matches(f"It runs well. {slot} We go on."), slot
     assert "<slot>" not in residue.tokenize("{% never closed " * 20000 + "<% " * 20000)[0]
+
+
+def test_markup_of_any_size():
+    formula = "$" + " + ".join(f"\\alpha_{{{i}}} x^{{{i}}}" for i in range(60)) + "$"
+    scripts = "$" + " + ".join(f"x_{{{i}}}" for i in range(60)) + "$"
+    prices = "each run costs about $2 per sample, " + "and the plain words go on and on here " * 15 + "later only $27."
+    texts = [f"We have {formula} in all.", f"We have {scripts} in all.", prices]
+    on = markup.judged(texts, markup.model())
+    assert [{dom.LANGUAGE[n.kind[0]] for n in nodes} for nodes in on] == [{"latex"}, {"latex"}, set()]
+    assert [markup.render(t, nodes) for t, nodes in zip(texts, on)] == texts  # formulas are kept
+    far = "<section>" + "".join(f"<x{i}>" for i in range(100)) + "a</section><b>c</b></x3>"
+    assert {(n.kind, n.name) for n in dom.parse(far) if n.kind == "h_element"} == {("h_element", "section"), ("h_element", "b")}
+    # as many siblings as there may be: what lies inside others does not count among them
+    row = lambda n: dom.features(t := "<i>a</i>" * n + "<p>" + "<u>b</u>" * 30 + "</p>", dom.parse(t))[0]
+    few, many = row(399), row(400)
+    at = [i for i, (a, b) in enumerate(zip(few, many)) if abs(a - b) > 0.01]
+    assert not at, at
