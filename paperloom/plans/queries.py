@@ -323,18 +323,29 @@ def query_synonyms(s, d):
     return expand.synonyms(assoc_top20(s, d), EXPANDED)
 
 
-@query
-def expanded_search(s, d):
+def _expanded(s, d, ranks: DataFrame) -> DataFrame:
     docs = fixtures.corpus(s, d)
     post, lengths, meta = store(index.postings(docs)), index.doc_lengths(docs), fixtures.corpus_metadata(s, d)
-    no_links = s.createDataFrame([], "doc_id long, score double")
     syns = expand.synonyms(assoc_top20(s, d), EXPANDED)
-    extra = expand.synonym_hits(syns, post, lengths, no_links)
-    primary = search.top(search.match(post, lengths, search.parse_command(EXPANDED).terms), meta)
+    extra = expand.synonym_hits(syns, post, lengths, ranks)
+    hits = search.match(post, lengths, search.parse_command(EXPANDED).terms)
+    primary = search.top(search.with_links(hits, ranks), meta)
     return expand.merge(primary, extra, meta).select("rank", "doc_id", "id", "title", "authors", "category", "date",
                                                      F.round("score", 6).alias("score"))
 
 
+@query
+def expanded_search(s, d):
+    """By text alone, as its SQL has it."""
+    return _expanded(s, d, s.createDataFrame([], "doc_id long, score double"))
+
+
+@query
+def expanded_hybrid_search(s, d):
+    """With link scores in both lists, as the engine ranks."""
+    return _expanded(s, d, store(_ranks(s, d)))
+
+
 # --- ingestion -----------------------------------------------------------------------------
 
 def _uploads(s, d) -> DataFrame:

@@ -192,3 +192,20 @@ def test_stream(spark, tmp_path):
     run()
     got = rows(spark.read.parquet(str(tmp_path / "table")).select("doc_id", "title", "dl"))
     assert got == [(10, "One", 4), (11, "Two words", 3)]
+
+
+def test_expanded_hybrid_search_ranks_by_links(spark, monkeypatch):
+    """Its scores are those by text alone plus 50 link scores, halved for related hits."""
+    from paperloom.plans import queries
+
+    given = spark.createDataFrame([(1, "spectrum", "noisy")], "seq long, word string, syn string")  # this data associates nothing
+    monkeypatch.setattr(queries.expand, "synonyms", lambda *_: given)
+    d = "/root/testdata/sf0.001"
+    links = {x["doc_id"]: x["score"] for x in queries._ranks(spark, d).collect()}
+    found = queries.REGISTRY["expanded_hybrid_search"](spark, d).collect()
+    plain = {(x["doc_id"], x["title"]): x["score"] for x in queries.REGISTRY["expanded_search"](spark, d).collect()}
+    both = [(x, plain[x["doc_id"], x["title"]]) for x in found if (x["doc_id"], x["title"]) in plain]
+    gain = lambda x: 50 * links.get(x["doc_id"], 0.0) * (0.5 if x["title"].startswith("[Related to ") else 1)
+    assert both and all(abs(x["score"] - score - gain(x)) < 5e-6 for x, score in both)
+    assert any(gain(x) > 0.001 for x, _ in both)
+    assert {x["title"].startswith("[Related to ") for x, _ in both} == {True, False}
