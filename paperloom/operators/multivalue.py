@@ -16,19 +16,23 @@ OPEN, CLOSE, ESCAPE, COMMA = "\ue000", "\ue001", "\ue002", "\ue003"
 RESERVED = (ESCAPE, OPEN, CLOSE, COMMA)
 
 # A quoted span begins where a value can begin and ends where a value can end; an
-# apostrophe between letters is neither.
+# apostrophe between letters is neither. Every loop over a group is possessive: Java runs
+# such loops without recursion, and none of them could match by giving a character back.
+# No scan passes the next opening mark, so an unclosed quote costs one scan to there.
 _BEFORE, _AFTER = r"(?<![^\s,;|/\[({:])", r"(?![^\s,;|/\])}:])"
 QUOTED = "|".join(
     _BEFORE + span + _AFTER
-    for span in (r'"(?:[^"]|"")*"', r"'(?:[^'\n]|(?<=\p{L})'(?=\p{L}))*'", r"\u201c[^\u201d]*\u201d", r"\u00ab[^\u00bb]*\u00bb")
+    for span in (
+        r'"[^"]*+(?:""[^"]*+)*+"', r"'[^'\n]*+(?:(?<=\p{L})'(?=\p{L})[^'\n]*+)*+'",
+        r"\u201c[^\u201c\u201d]*+\u201d", r"\u00ab[^\u00ab\u00bb]*+\u00bb")
 )
 _SPAN = f"{OPEN}([0-9]+){CLOSE}"
 
 _PARTICLE = r"(?:van|von|der|den|de|del|della|di|da|dos|das|du|la|le|el|al|bin|ibn|ter|ten|zu|zur)"
 _UPPER_PARTICLE = _PARTICLE.upper()
-_FAMILY = rf"(?:(?:{_PARTICLE}\s+)*|(?:{_UPPER_PARTICLE}\s+)*)\p{{L}}[\p{{L}}\p{{M}}'\u2019-]+"
-_INITIAL = r"\p{L}\.?(?:[\s-]?\p{L}\.)*"
-_GIVEN = rf"(?:{_INITIAL}|\p{{L}}[\p{{L}}\p{{M}}'\u2019-]+)(?:\s+{_INITIAL})*(?:\s+{_PARTICLE})*"
+_FAMILY = rf"(?:(?:{_PARTICLE} +(?=\p{{L}}))*+|(?:{_UPPER_PARTICLE} +(?=\p{{L}}))*+)\p{{L}}[\p{{L}}\p{{M}}'\u2019-]++"
+_INITIAL = r"\p{L}\.?(?:[ -]?\p{L}\.)*+"
+_GIVEN = rf"(?:{_INITIAL}|\p{{L}}[\p{{L}}\p{{M}}'\u2019-]++)(?: +{_INITIAL}(?!\p{{L}}))*+(?: +{_PARTICLE}(?!\p{{L}}))*+"
 _SUFFIX = r"(?:(?i:jr|sr)\b\.?|(?:II|III|IV)\b)"
 _GROUP = r"(?i:\b(?:collaboration|collab\.?|coll\.?|consortium|group|team))"
 
@@ -50,8 +54,8 @@ def _unescape(text: Column) -> Column:
 
 
 def _continued(text: Column) -> Column:
-    """A line that begins with blanks continues the line before."""
-    return _sub(text, r"\r?\n[ \t]+", " ")
+    """A line that begins with blanks continues the line before; runs of blanks are one."""
+    return _sub(_sub(text, r"\r?\n[ \t]+", " "), r"[^\S\r\n]{2,}+|[\x0B\f\t]", " ")
 
 
 def _masked(text: Column, around: str) -> Column:
@@ -62,11 +66,13 @@ def _masked(text: Column, around: str) -> Column:
         i < last, F.concat(p, F.lit(around + OPEN), i.cast("string"), F.lit(CLOSE + around))).otherwise(p)), "")
 
 
+_OUTER = r"""[\s,;:|/&\u00b7\u2022"'\u201c\u201d\u00ab\u00bb\[\](){}<>]"""
+
+
 def _trimmed(value: Column) -> Column:
     """No outer quotes, brackets or separators; runs of white space are one space."""
     value = _sub(value, r"[\s\u00a0\u200b\ufeff]+", " ")
-    value = _sub(value, r"^[\s,;:|/&\u00b7\u2022\"'\u201c\u201d\u00ab\u00bb\[\](){}<>]+", "")
-    return _sub(value, r"[\s,;:|/&\u00b7\u2022\"'\u201c\u201d\u00ab\u00bb\[\](){}<>]+$", "")
+    return _sub(value, rf"^{_OUTER}++|(?<!{_OUTER}){_OUTER}++$", "")
 
 
 def _restored(pieces: Column, spans: Column) -> Column:
@@ -104,9 +110,9 @@ def split_names(text: Column) -> Column:
     for _ in range(2):  # markers in markers
         bare = _sub(bare, r"\([^()]*\)", " ")
     bare = _sub(bare, rf"({_GROUP})\s*:", "$1\n")
-    bare = _sub(bare, r"(?i)[\s,]+(?:and|&)(?=\s)|^\s*(?:and|&)\s|\bet al\b\.?", "\n")
+    bare = _sub(bare, r"(?i)(?<![\s,])[\s,]++(?:and|&)(?=\s)|^\s*(?:and|&)\s|\bet al\b\.?", "\n")
     bare = _sub(bare, r"\s*[;|\u00b7\u2022]\s*|\s+/\s+|\s*[\r\n]\s*", "\n")
-    bare = _sub(bare, rf"\s*,\s*(?={_SUFFIX}\s*(?:,|\n|$))", f"{COMMA} ")
+    bare = _sub(bare, rf"(?<!\s)\s*+,\s*(?={_SUFFIX}\s*(?:,|\n|$))", f"{COMMA} ")
     bare = _sub(bare, rf"(?m)(^|,)(\s*{_FAMILY}(?:{COMMA} {_SUFFIX})?)\s*,\s*(?={_GIVEN}\s*(?:,|{COMMA}|$))(\S[^,\n]*)", f"$1$2{COMMA} $3")
     kept = _restored(F.split(bare, r"[,\n]"), spans)
     unmarked = F.transform(kept, lambda v: _trimmed(_sub(v, r"\([^()]*\)", " ")))

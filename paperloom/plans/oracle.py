@@ -176,6 +176,10 @@ def core_sql() -> dict[str, str]:
     q["ingest_lexicon_delta"] = (
         f"with {newtok}, f as (select w, min((line_no,p)) f from nt where w not in {STOP} and w not in (select lower(trim(word)) from lexicon where word is not null) group by 1) "
         "select row_number() over (order by f) - 1 + (select max(word_id)+1 from lexicon) word_id, w word from f")
+    q["p3_codes"] = (
+        r"""with x as (select line_no, list_filter(list_transform(regexp_extract_all(coalesce(categories,''), '"[^"]*"|''[^'']*''|[^\s,;|\[\]{}()"'']+'), """
+        r"""lambda v: trim(v, ' "''')), lambda v: v not in ('','/','&','+','and','·')) v from raw_papers) """
+        "select line_no, generate_subscripts(v,1) pos, unnest(v) as value from x")
     q["p2_found"] = f"with {_ORPH} select tab, field, row_id, kind, period from orph"
     q["p2_report"] = f"with {_ORPH} select tab, field, kind, period, count(*) n from orph group by 1,2,3,4"
     return q

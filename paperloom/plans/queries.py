@@ -416,3 +416,9 @@ def p2_report(s, d):
 @query
 def p3_found(s, d):
     return multivalue.values(read_table(s, d, "raw_papers"), "line_no", {"authors": "names", "categories": "codes"})
+
+
+@query
+def p3_codes(s, d):
+    """The values of the code field alone, which SQL can split as well."""
+    return multivalue.values(read_table(s, d, "raw_papers"), "line_no", {"categories": "codes"}).drop("field")

@@ -108,6 +108,25 @@ def test_values_with_clashing_columns_and_long_fields(spark):
     assert values(df.limit(0), "line_no", {"authors": "names"}).count() == 0
 
 
+MEGA = 1_000_000
+LONG = [  # each more than Java's stack would bear if a loop over a group recursed, or its square in steps
+    ('"' + "a, b " * (MEGA // 5) + '" x', 2, 2), ('"' + "a b " * (MEGA // 4), 1, MEGA // 2), ("'" + "it's a " * (MEGA // 7), 1, None),
+    ('"' + 'a ""b"" ' * (MEGA // 8) + '"', 1, 1), ("van " * (MEGA // 4) + "Berg, J.", 1, None), ("Berg, " + "A." * (MEGA // 2), 1, 2),
+    ("Berg, " + "A. " * (MEGA // 3), 1, None), ("“a " * (MEGA // 3), 1, MEGA // 3), ("," * MEGA, 0, 0), ("x" + "\n" * MEGA + "y", 2, 2), ("((" * (MEGA // 2), 0, 0),
+]
+
+
+def test_fields_of_a_megabyte(spark, tmp_path):
+    """Quoted spans, unclosed quotes and long runs, read from a file so that nothing is folded."""
+    rows = [(i, t, t) for i, (t, _, _) in enumerate(LONG)]
+    spark.createDataFrame(rows, "line_no long, authors string, categories string").write.parquet(str(tmp_path / "long"))
+    got = values(spark.read.parquet(str(tmp_path / "long")), "line_no", {"authors": "names", "categories": "codes"})
+    counts = {(r["line_no"], r["field"]): r["n"] for r in got.groupBy("line_no", "field").agg(F.count("*").alias("n")).collect()}
+    for i, (t, names, codes) in enumerate(LONG):
+        assert counts.get((i, "authors"), 0) == names, t[:20]
+        assert codes is None or counts.get((i, "categories"), 0) == codes, t[:20]
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.lists(st.sampled_from(["Anton Kep", "B. Rav", "Ida van Dik", "Kep, Anton"]), min_size=1, max_size=5), min_size=1, max_size=6), st.sampled_from(["; ", ";", " | ", "\n", " and ", " · "]))
 def test_join_then_split_is_identity(spark, lists, sep):
