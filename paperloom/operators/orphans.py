@@ -5,18 +5,22 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.runtime import cut
+from paperloom.runtime import store
 
 NO_REFERENCE = "UnknownID"
 FOREVER = "9999-12-31 00:00:00"
+#: Hash buckets of the open keys: a bound on the broadcast that sifts the references.
+BUCKETS = 1 << 20
+NTZ = "timestamp_ntz"
 
 
 @dataclass(frozen=True)
 class Child:
-    """One referring column: its table, the key expression, the row id and the time."""
+    """One referring column: its table, the key expression, the row id, the time and the
+    parent table the key belongs to."""
 
     df: DataFrame
     tab: str
@@ -24,93 +28,111 @@ class Child:
     key: Column
     row_id: str
     time: str
+    parent: str = "parent"
 
 
 def _references(children: list[Child]) -> DataFrame:
-    """All references in long form (key, tab, field, row_id, t); null and blank keys and
-    ``UnknownID`` are no references."""
+    """All references in long form (ptab, key, tab, field, row_id, t); null and blank keys
+    and ``UnknownID`` are no references. Keys are strings, so that all parents fit one column."""
     parts = []
     for c in children:
         part = c.df.select(
-            c.key.alias("key"), F.lit(c.tab).alias("tab"), F.lit(c.field).alias("field"),
-            F.col(c.row_id).alias("row_id"), F.col(c.time).alias("t"),
+            F.lit(c.parent).alias("ptab"), c.key.alias("key"), F.lit(c.tab).alias("tab"), F.lit(c.field).alias("field"),
+            F.col(c.row_id).alias("row_id"), F.col(c.time).cast(NTZ).alias("t"),
         ).filter(F.col("key").isNotNull())
         if dict(part.dtypes)["key"] == "string":
             part = part.filter((F.trim("key") != "") & (F.trim("key") != NO_REFERENCE))
-        parts.append(part)
+        parts.append(part.withColumn("key", F.col("key").cast("string")))
     return reduce(DataFrame.unionByName, parts)
 
 
-def find_orphans(parents: DataFrame, children: list[Child], hot_share: int = 2000) -> DataFrame:
+def _mappings(parents: dict[str, DataFrame]) -> DataFrame:
+    """All mapping rows in long form (ptab, key, mapped_at, deleted_at)."""
+    return reduce(DataFrame.unionByName, [
+        df.select(F.lit(name).alias("ptab"), F.col("key").cast("string").alias("key"),
+                  F.col("mapped_at").cast(NTZ).alias("mapped_at"), F.col("deleted_at").cast(NTZ).alias("deleted_at"))
+        .filter("key is not null") for name, df in parents.items()])
+
+
+def find_orphans(parents: DataFrame | dict[str, DataFrame], children: list[Child], hot_share: int = 2000, least: int = 10_000) -> DataFrame:
     """(tab, field, row_id, kind, period): one row per reference without a living parent.
 
-    ``parents`` is (key, mapped_at, deleted_at), any number of rows a key. A reference of
-    time t lives if a parent row of its key has mapped_at <= t and deleted_at null or > t.
-    ``kind`` is ``missing`` (no parent row), ``late`` (all rows mapped after t) or
-    ``deleted``; ``period`` is the month of t. A reference without a time is an orphan only
-    if its key has no parent row, with a null period. A parent row without ``mapped_at``
-    never lives. Extra columns of the inputs are not looked at; empty inputs are fine.
-
-    Method: parents and references are united in long form, tagged, and grouped by key.
-    The group sums are plain counts, minima and maxima, so a hot key shrinks to one row per
-    task before the shuffle. Groups whose every reference is surely alive are settled by
-    this alone; what remains are groups lacking the parent flag and groups with a deletion
-    or a late mapping. Only references of those groups are looked up again, one by one,
-    against the group's mapping times. References of a key holding over a
-    ``1/hot_share`` of all references are spread over several tasks: there are fewer than
-    ``hot_share`` such keys, which bounds the broadcast list of them.
+    ``parents`` is a table (key, mapped_at, deleted_at), any number of rows a key, or
+    several by name, which ``Child.parent`` tells apart. A reference of time t lives if a
+    parent row of its key has mapped_at <= t and deleted_at null or > t. ``kind`` is
+    ``missing`` (no parent row), ``late`` (all rows mapped after t) or ``deleted``;
+    ``period`` is the month of t. A reference without a time is an orphan only if its key
+    has no parent row, with a null period. A parent row without ``mapped_at`` never lives.
+    Extra columns of the inputs are not looked at; empty inputs are fine.
+
+    Method: parents and references are united in long form, tagged, and grouped by parent
+    table and key. The group sums are plain counts, minima and maxima, so a hot key shrinks
+    to one row per task before the shuffle. Groups whose every reference is surely alive
+    are settled by this alone; open are the groups lacking the parent flag and those with a
+    deletion or a late mapping.
+
+    Settled references leave before the next shuffle, by two broadcasts of bounded size.
+    Keys above ``1/hot_share`` of all references (and above ``least``), fewer than
+    ``hot_share``, carry whether they are open and over how many slices they are spread:
+    a settled hot key is dropped where it is read, an open one is no single task. All other
+    keys are sifted by the hashes of the open keys modulo ``BUCKETS``: none of an open key
+    is lost, and what passes by chance is judged like the rest and found alive.
+
+    What is left meets the mapping rows of its key in one ordered pass per key and slice:
+    the running maximum of the ends of all mappings begun so far tells who lives. The pass
+    streams, however many mappings a key has; a key has so few slices that copying its
+    mappings to each never outweighs its references.
     """
     refs = _references(children)
-    tagged = parents.select(
-        "key", F.lit(1).alias("parent"), "mapped_at",
-        F.when(F.col("deleted_at").isNotNull() | F.col("mapped_at").isNull(), 1).otherwise(0).alias("ended"),
-        F.lit(None).cast("timestamp_ntz").alias("t"),
-    ).unionByName(refs.select(
-        "key", F.lit(0).alias("parent"), F.lit(None).cast("timestamp_ntz").alias("mapped_at"),
-        F.lit(0).alias("ended"), F.col("t").cast("timestamp_ntz").alias("t"),
-    ))
-    groups = tagged.groupBy("key").agg(
-        F.max("parent").alias("parent"), F.max("ended").alias("ended"),
-        F.min("mapped_at").alias("first_mapped"), F.min("t").alias("first_t"),
-        F.sum(1 - F.col("parent")).alias("n"),
-    )
-    settled = (F.col("parent") == 1) & (F.col("ended") == 0) & (
+    maps = _mappings(parents if isinstance(parents, dict) else {"parent": parents})
+    none = F.lit(None).cast(NTZ)
+    tagged = maps.select(
+        "ptab", "key", F.lit(1).alias("parent"), "mapped_at",
+        F.when(F.col("deleted_at").isNotNull() | F.col("mapped_at").isNull(), 1).otherwise(0).alias("ended"), none.alias("t"),
+    ).unionByName(refs.select("ptab", "key", F.lit(0).alias("parent"), none.alias("mapped_at"), F.lit(0).alias("ended"), "t"))
+    groups = tagged.groupBy("ptab", "key").agg(
+        F.max("ended").alias("ended"), F.min("mapped_at").alias("first_mapped"), F.min("t").alias("first_t"),
+        F.sum("parent").alias("maps"), F.sum(1 - F.col("parent")).alias("n"),
+    ).filter("n > 0")
+    settled = (F.col("maps") > 0) & (F.col("ended") == 0) & (
         F.col("first_t").isNull() | (F.col("first_mapped") <= F.col("first_t")))
-    open_groups = cut(groups.filter((F.col("n") > 0) & ~F.coalesce(settled, F.lit(False))).select("key", "parent", "n"))
-
-    total = open_groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    limit = max(total // hot_share, 10_000)
-    slices = F.ceil(F.col("n") / F.lit(limit)).cast("int")
-
-    until = F.coalesce("deleted_at", F.lit(FOREVER).cast("timestamp_ntz"))
-    steps = (
-        parents.join(open_groups.filter("parent = 1").select("key"), "key", "left_semi")
-        .groupBy("key", "mapped_at").agg(F.max(until).alias("until"))
-        .groupBy("key").agg(F.collect_list(F.struct("mapped_at", "until")).alias("steps"))
+    judged = groups.select("ptab", "key", "maps", "n", (~F.coalesce(settled, F.lit(False))).alias("open"))
+    known = store(judged.filter((F.col("open")) | (F.col("n") > least)))
+
+    total = refs.count()
+    limit = max(total // hot_share, least)
+    slices = F.ceil(F.col("n") / F.greatest(F.lit(limit), F.col("maps"))).cast("int")
+    hot = F.broadcast(known.filter(F.col("n") > limit).select("ptab", "key", "open", slices.alias("slices")))
+    bucket = F.pmod(F.xxhash64("ptab", "key"), F.lit(BUCKETS)).cast("int")
+    sieve = F.broadcast(known.filter("open").select(bucket.alias("bucket")).distinct())
+    spread = (
+        refs.withColumn("bucket", bucket).join(sieve, "bucket", "left_semi").drop("bucket")
+        .join(hot, ["ptab", "key"], "left").filter("coalesce(open, true)")
+        .select("ptab", "key", F.pmod(F.hash("row_id", "field"), F.coalesce("slices", F.lit(1))).alias("slice"),
+                F.lit(1).alias("ref"), "t", none.alias("until"), "tab", "field", "row_id")
     )
-    states = (
-        open_groups.join(steps, "key", "left")
-        .withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
-        .select("key", "slice", "steps")
+    until = F.coalesce("deleted_at", F.lit(FOREVER).cast(NTZ))
+    begun = (
+        maps.withColumn("bucket", bucket).join(sieve, "bucket", "left_semi")
+        .groupBy("ptab", "key", F.col("mapped_at").alias("t")).agg(F.max(F.when(F.col("mapped_at").isNotNull(), until)).alias("until"))
+        .join(hot, ["ptab", "key"], "left").filter("coalesce(open, true)")
+        .select("ptab", "key", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)).alias("slice"), "t", "until")
     )
-    hot = F.broadcast(open_groups.filter(F.col("n") > limit).select("key", slices.alias("slices")))
-    spread = refs.join(hot, "key", "left").withColumn(
-        "slice", F.pmod(F.hash("row_id", "field"), F.coalesce("slices", F.lit(1)))).drop("slices")
-
-    t = F.col("t").cast("timestamp_ntz")
-    begun = F.filter("steps", lambda s: s["mapped_at"] <= t)
-    unborn = F.forall("steps", lambda s: F.coalesce(s["mapped_at"] > t, F.lit(False)))
-    alive = F.exists(begun, lambda s: s["until"] > t)
+    # a mapping row counts as begun from its time on, one without a time from the start; a
+    # row of its own says from the start that the key has parent rows
+    blank = {c: F.lit(None).cast(k) for c, k in spread.select("tab", "field", "row_id").dtypes}
+    marks = begun.select("ptab", "key", "slice", F.explode(F.array(
+        F.struct(F.lit(0).alias("ref"), "t", "until"), F.struct(F.lit(-1).alias("ref"), none.alias("t"), none.alias("until")))).alias("m")).select(
+        "ptab", "key", "slice", "m.ref", "m.t", "m.until", *[v.alias(c) for c, v in blank.items()])
+    line = Window.partitionBy("ptab", "key", "slice").orderBy(F.col("t").asc_nulls_first(), "ref").rowsBetween(Window.unboundedPreceding, 0)
     kind = (
-        F.when(F.col("steps").isNull(), "missing")
-        .when(t.isNull() | alive, None)
-        .when(unborn, "late")
-        .otherwise("deleted")
+        F.when(F.col("has").isNull(), "missing").when(F.col("t").isNull() | (F.col("ends") > F.col("t")), None)
+        .when(F.col("has") < 0, "late").otherwise("deleted")
     )
     return (
-        spread.join(states, ["key", "slice"])
-        .withColumn("kind", kind)
-        .filter("kind is not null")
+        spread.unionByName(marks)
+        .withColumn("has", F.max(F.when(F.col("ref") < 1, F.col("ref"))).over(line)).withColumn("ends", F.max("until").over(line))
+        .filter("ref = 1").withColumn("kind", kind).filter("kind is not null")
         .select("tab", "field", "row_id", "kind", F.date_format("t", "yyyy-MM").alias("period"))
     )
 

@@ -394,13 +394,11 @@ def _orphans(s, d) -> DataFrame:
     meta, edges, hits = (read_table(s, d, t) for t in ("doc_metadata", "graph_edges", "search_results"))
     by_key = ids.select(metadata_key(F.col("doc_key")).alias("key"), "mapped_at", "deleted_at")
     by_id = ids.select(F.col("doc_id").alias("key"), "mapped_at", "deleted_at")
-    named = orphans.find_orphans(by_key, [
-        orphans.Child(meta, "doc_metadata", "original_id", metadata_key(F.col("original_id")), "line_no", "loaded_at")])
-    numbered = orphans.find_orphans(by_id, [
-        orphans.Child(edges, "graph_edges", "src", F.col("src"), "edge_id", "loaded_at"),
-        orphans.Child(edges, "graph_edges", "dst", F.col("dst"), "edge_id", "loaded_at"),
-        orphans.Child(hits, "search_results", "doc_id", F.col("doc_id"), "hit_id", "ran_at")])
-    return named.unionByName(numbered)
+    return orphans.find_orphans({"key": by_key, "id": by_id}, [
+        orphans.Child(meta, "doc_metadata", "original_id", metadata_key(F.col("original_id")), "line_no", "loaded_at", "key"),
+        orphans.Child(edges, "graph_edges", "src", F.col("src"), "edge_id", "loaded_at", "id"),
+        orphans.Child(edges, "graph_edges", "dst", F.col("dst"), "edge_id", "loaded_at", "id"),
+        orphans.Child(hits, "search_results", "doc_id", F.col("doc_id"), "hit_id", "ran_at", "id")])
 
 
 @query

@@ -45,10 +45,40 @@ def test_orphans_against_brute_force(spark, seed):
     refs = [(i, r.choice([None, 3, 3, 3, *range(16)]), r.choice([None, *range(70)])) for i in range(300)]
     p = spark.createDataFrame([(k, day(m), day(d), "x") for k, m, d in parents], "key long, mapped_at timestamp_ntz, deleted_at timestamp_ntz, tab string")
     c = spark.createDataFrame([(i, k, day(t), "y") for i, k, t in refs], "id long, ref long, at timestamp_ntz, kind string")
-    got = find_orphans(p, [Child(c, "c", "ref", F.col("ref"), "id", "at")], hot_share=3)
+    got = find_orphans(p, [Child(c, "c", "ref", F.col("ref"), "id", "at")], hot_share=3, least=1)
     assert sorted(((x["row_id"], x["kind"], x["period"]) for x in got.collect()), key=str) == brute(parents, refs)
 
 
+@pytest.mark.parametrize("deleted", [None, 30])
+def test_a_hot_key_is_dropped_or_spread(spark, deleted):
+    """A key with two thirds of the references: settled, none of them reaches a shuffle; open,
+    it is spread, and its many mappings are walked through, not gathered."""
+    parents = [(0, day(i % 25), day(deleted)) for i in range(300)] + [(k, day(0), None) for k in range(1, 40)]
+    refs = [(i, 0 if i % 3 else i % 50, day(26 + i % 9)) for i in range(3000)]
+    p = spark.createDataFrame(parents, "key long, mapped_at timestamp_ntz, deleted_at timestamp_ntz")
+    c = spark.createDataFrame(refs, "id long, ref long, at timestamp_ntz")
+    got = find_orphans(p, [Child(c, "c", "ref", F.col("ref"), "id", "at")], hot_share=10, least=1)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and plan.count("LeftSemi") == 2
+    expected = sum(1 for _, k, t in refs if k >= 40 or (k == 0 and deleted is not None and t >= day(deleted)))
+    assert got.count() == expected
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = got.filter("row_id % 3 != 0").groupBy(F.spark_partition_id()).count().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks > 3 if deleted else tasks == 0
+
+
+def test_parent_tables_are_told_apart(spark):
+    a = spark.createDataFrame([("1", T0, None)], "key string, mapped_at timestamp_ntz, deleted_at timestamp_ntz")
+    b = spark.createDataFrame([(2, T0, None)], "key long, mapped_at timestamp_ntz, deleted_at timestamp_ntz")
+    c = spark.createDataFrame([(7, 1, T0), (8, 2, T0)], "id long, ref long, at timestamp_ntz")
+    child = lambda f, to: Child(c, "c", f, F.col("ref"), "id", "at", to)
+    got = find_orphans({"a": a, "b": b}, [child("x", "a"), child("y", "b")])
+    assert sorted((r["field"], r["row_id"]) for r in got.collect()) == [("x", 8), ("y", 7)]
+
+
 def test_orphans_of_strings_and_empty_tables(spark):
     p = spark.createDataFrame([("a", T0, None)], "key string, mapped_at timestamp_ntz, deleted_at timestamp_ntz")
     c = spark.createDataFrame([(1, "a", T0), (2, " ", T0), (3, "UnknownID", T0), (4, None, T0), (5, "b", T0)], "id long, ref string, at timestamp_ntz")
