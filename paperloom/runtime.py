@@ -74,7 +74,34 @@ def store(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{_work_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._paperloom_path = path
+    return out
+
+
+def release(*stored: DataFrame) -> None:
+    """Delete tables that ``store`` or ``laid_out`` wrote, once nothing reads them any more."""
+    for df in stored:
+        path = getattr(df, "_paperloom_path", None)
+        if path:
+            discard(df.sparkSession, path)
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], hot_rows: int) -> DataFrame:
+    """Inner join in which a key of more than ``hot_rows`` rows of ``big`` is no single task.
+
+    Such keys, fewer than rows / ``hot_rows``, are counted by a partial aggregate; their rows
+    of ``big`` are sliced by a hash of the row and those of ``small`` are copied to each
+    slice. The list of them is broadcast; a table so long that they could be too many for
+    that has its limit raised to keep them under 10,000.
+    """
+    counts = store(big.groupBy(*on).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot_rows))
+    limit = max(hot_rows, (counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]) // 10_000)
+    hot = F.broadcast(counts.filter(F.col("__n") > limit).select(*on, F.ceil(F.col("__n") / limit).cast("int").alias("__slices")))
+    slices = F.coalesce("__slices", F.lit(1))
+    left = big.join(hot, on, "left").withColumn("__slice", F.pmod(F.xxhash64(*big.columns), slices).cast("int")).drop("__slices")
+    right = small.join(hot, on, "left").withColumn("__slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("__slices")
+    return left.join(right, [*on, "__slice"]).drop("__slice")
 
 
 def cut(df: DataFrame, keep_layout: bool = False) -> DataFrame:
