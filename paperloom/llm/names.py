@@ -1,10 +1,11 @@
 """Problem 7: variant spellings of the names of people and groups.
 
-Names are read into family, given names, suffix and kind. Family forms become IDF-weighted
-character-trigram vectors; a distributed cosine join over the rarest trigrams finds those
-alike, and a join over forms with one letter left out finds all that one edit parts, whatever
-their cosine; names of linked families are compared exactly and grouped by average linkage,
-run as rounds of merging mutual nearest neighbours.
+Whole names become weighted character-trigram vectors, and the cosine of two vectors is
+their similarity: it is thresholded, and average linkage groups the names by it, run as
+rounds of merging mutual nearest neighbours. Rules about families, given names and suffixes
+only veto. Pairs are found by a distributed sparse cosine join of the family parts over
+their rarest trigrams, beside an exact join of families one edit apart, and meet by keys of
+the given name, so that no common family or given name is paired with all of its own.
 """
 
 from __future__ import annotations
@@ -14,17 +15,31 @@ import unicodedata
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.operators.multivalue import split_names
-from paperloom.runtime import cut, ship, store
+from paperloom.runtime import release, ship, spread_join, store
 
-#: Least cosine of two family forms, least average similarity of two clusters that merge.
-COSINE, LINKAGE = 0.3, 0.15
+#: Least cosine of two whole names, of two family forms in their join, and least average of two clusters that merge.
+COSINE, FAMILY_COSINE, LINKAGE = 0.2, 0.35, 0.1
+#: What a pair of names that a rule parts, or that is not alike, counts in an average.
+UNLINKED = -0.5
 GRAM = 3
-#: Family forms shorter than this must be equal.
-EDITABLE = 4
+#: Floor of a trigram's document share: it bounds the weights of rare trigrams, so that cosines
+#: settle as the collection grows.
+FLOOR = 0.01
+#: Weight of a given name's trigrams, those of families having 1.
+GIVEN = 0.5
+#: Family forms shorter than this must be equal; longer ones may differ by an edit for every
+#: ``PER_EDIT`` letters, one at least. ``TWICE`` letters make two edits bearable.
+EDITABLE, PER_EDIT, TWICE = 4, 8, 8
+#: Letters that are one in an edit count, as transliterations swap them.
+ALIKE = str.maketrans("wyz", "vis")
+#: A given name of so few letters may abbreviate another.
+SHORT = 3
+#: Rows of one key beyond which a join spreads it over several tasks.
+HOT_ROWS = 20_000
 
 # Short forms and the given names they stand for.
 NICKNAMES = {
@@ -127,103 +142,151 @@ def read_name(name: str) -> list[tuple[str, str, str, str, bool]]:
     return out
 
 
-def one_edit(a: str, b: str) -> int:
-    """0 if equal, 1 if one insertion, deletion, substitution or swap apart, else 2."""
+def edits(a: str, b: str, most: int = 2) -> int:
+    """Insertions, deletions, substitutions and swaps of neighbours between two words;
+    ``most + 1`` if there are more than ``most``."""
     if a == b:
         return 0
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1:
-        return 2
-    i = 0
-    while i < len(a) and a[i] == b[i]:
-        i += 1
-    if len(a) < len(b):
-        return 1 if a[i:] == b[i + 1:] else 2
-    if a[i + 1:] == b[i + 1:]:
-        return 1
-    return 1 if a[i:i + 2] == b[i:i + 2][::-1] and a[i + 2:] == b[i + 2:] else 2
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    before, row = [], list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, before, row = before, row, [i + 1]
+        for j, y in enumerate(b):
+            d = min(before[j + 1] + 1, row[j] + 1, before[j] + (x != y))
+            if i and j and x == b[j - 1] and a[i - 1] == y:
+                d = min(d, last[j - 1] + 1)
+            row.append(d)
+        if min(row) > most:
+            return most + 1
+    return min(row[-1], most + 1)
 
 
 def _formal(g: str) -> set[str]:
     return {g, *NICKNAMES.get(g, "").split()}
 
 
-def given_keys(given: str) -> list[str]:
-    """Initials under which a given name may appear; the second letter too, for a first
-    letter that was dropped or swapped."""
+def _shorter(w: str) -> set[str]:
+    """A word and its forms with one letter left out: two words one edit apart share one."""
+    return {w} | {w[:i] + w[i + 1:] for i in range(len(w))}
+
+
+def given_keys(given: str) -> tuple[list[str], list[str], bool]:
+    """Keys of a given name: those under which full names meet, the initials under which it
+    meets short ones, and whether it is short itself. The second letter is an initial too,
+    for a first letter that was dropped or swapped."""
     first = given.split(" ")[0]
     if not first:
-        return [""]
-    return sorted({x[0] for x in _formal(first)} | ({first[1]} if len(first) > 3 else set()))
+        return [""], [], False
+    forms = _formal(first)
+    short = len(first) <= SHORT
+    fine = set().union(*(_shorter(f) if len(f) > SHORT else {f} for f in forms))
+    return sorted(fine), sorted({f[0] for f in forms} | (set() if short else {first[1]})), short
 
 
-def similarity(a: tuple[str, str, str, str], b: tuple[str, str, str, str]) -> float | None:
-    """Of two readings (kind, family, given, suffix): 0 to 1 if they can name one entity,
-    -1 if they name different ones, None if nothing is said either way."""
+def may_be_one(a: tuple[str, str, str, str], b: tuple[str, str, str, str]) -> int:
+    """Whether no rule forbids that two readings (kind, family, given, suffix) name one
+    entity: 2 if so, 0 if one does, 1 if only the family forms are an edit too far apart.
+
+    Kinds and suffixes must agree; families may differ by some edits, by their length; given
+    names, if both are there, must be the same, forms or short forms of one another, one edit
+    apart, or an initial of the other, and second given names must begin alike. A name
+    without given names is only like such names of its family.
+    """
     if a[0] != b[0] or a[3] != b[3]:
-        return None
-    f = one_edit(a[1], b[1])
-    if f > 1 or (f and min(len(a[1]), len(b[1])) < EDITABLE):
-        return None
+        return 0
+    f = edits(a[1], b[1])
+    least = min(len(a[1]), len(b[1]))
+    if f > 1 and least >= TWICE:
+        f = min(f, edits(a[1].translate(ALIKE), b[1].translate(ALIKE)))
+    if f > 2 or (f and least < EDITABLE) or (f > 1 and least < TWICE):
+        return 0
+    found = 2 if f <= max(1, least // PER_EDIT) else 1
     if a[0] == "g":
-        return 1 - 0.15 * f
+        return found
     ga, gb = a[2].split(), b[2].split()
     if not ga or not gb:
-        return 0.6 if not f and ga == gb else None
+        return found if not f and ga == gb else 0
     x, y = ga[0], gb[0]
-    if len(x) == 1 or len(y) == 1:
-        if not {w[0] for w in _formal(x)} & {w[0] for w in _formal(y)}:
-            return None
-        cost = 0.1
-    elif _formal(x) & _formal(y):
-        cost = 0.0 if x == y else 0.05
-    else:
-        closest = min(one_edit(p, q) for p in _formal(x) for q in _formal(y))
-        if closest > 1 or min(len(x), len(y)) < 4:
-            return -1.0
-        cost = 0.15
-    if len(ga) > 1 and len(gb) > 1 and ga[1][0] != gb[1][0]:
-        return -1.0
-    return 1 - cost - 0.15 * f
+    if not _formal(x) & _formal(y):
+        if len(x) == 1 or len(y) == 1:
+            if not {w[0] for w in _formal(x)} & {w[0] for w in _formal(y)}:
+                return 0
+        elif not _abbreviates(x, y) and (
+                min(len(x), len(y)) <= SHORT or min(edits(p, q, 1) for p in _formal(x) for q in _formal(y)) > 1):
+            return 0
+    return 0 if len(ga) > 1 and len(gb) > 1 and ga[1][0] != gb[1][0] else found
+
+
+def _abbreviates(x: str, y: str) -> bool:
+    """Whether the shorter, of at most ``SHORT`` letters and no vowel but a first one, is the
+    other's first letter and later ones in order, such as ``wm`` of ``william``."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) > SHORT or len(x) == len(y) or x[0] != y[0] or any(c in "aeiouy" for c in x[1:]):
+        return False
+    rest = iter(y[1:])
+    return all(c in rest for c in x[1:])
 
 
 def _read_batches(batches):
     for b in batches:
         rows = [(n, *r) for n in b.column("name").to_pylist() for r in read_name(n)]
         cols = list(zip(*rows)) if rows else [[] for _ in range(6)]
+        keys = list(zip(*(given_keys(g) for g in cols[3]))) or [[], [], []]
         yield pa.RecordBatch.from_arrays(
-            [*[pa.array(c, pa.string()) for c in cols[:5]], pa.array(cols[5], pa.bool_()), pa.array([given_keys(g) for g in cols[3]], pa.list_(pa.string()))],
-            ["name", "kind", "family", "given", "suffix", "first", "keys"])
+            [*[pa.array(c, pa.string()) for c in cols[:5]], pa.array(cols[5], pa.bool_()),
+             pa.array(keys[0], pa.list_(pa.string())), pa.array(keys[1], pa.list_(pa.string())), pa.array(keys[2], pa.bool_())],
+            ["name", "kind", "family", "given", "suffix", "first", "fine", "initials", "short"])
 
 
 def readings(names: DataFrame) -> DataFrame:
-    """(name, kind, family, given, suffix, first, keys) of distinct names."""
+    """(name, kind, family, given, suffix, first, fine, initials, short) of distinct names."""
     ship(names.sparkSession)
     return names.select("name").mapInArrow(
-        _read_batches, "name string, kind string, family string, given string, suffix string, first boolean, keys array<string>")
+        _read_batches, "name string, kind string, family string, given string, suffix string, first boolean, "
+        "fine array<string>, initials array<string>, short boolean")
+
+
+def _weighted(grams: DataFrame, n: int, keys: list[str], tf: Column) -> DataFrame:
+    """(keys…, gram, at, w): the weight of each trigram of each item, ``tf`` times a bounded
+    log of its rarity; ``grams`` is (keys…, gram, pos)."""
+    per = grams.groupBy(*keys, "gram").agg(tf.alias("tf"), F.collect_set("pos").alias("at"))
+    df = per.groupBy("gram").agg(F.count("*").alias("df"))
+    return per.join(df, "gram").withColumn("w", F.col("tf") * F.log1p(1 / (F.col("df") / max(n, 1) + FLOOR)))
 
 
-def alike_families(families: DataFrame, threshold: float = COSINE) -> DataFrame:
-    """(kind, fa, fb, cosine): unequal family forms, fa < fb, of trigram cosine at least
-    ``threshold`` and within two letter edits.
+def name_vectors(read: DataFrame) -> DataFrame:
+    """(name, vec): unit trigram vectors of whole names, a map from trigram to weight. Words
+    are padded each, so the order of the parts is no matter; particles, titles and suffixes
+    are not in the readings. A trigram of a given name weighs ``GIVEN``."""
+    whole = read.filter("first").select("name", F.concat(F.array("family"), F.split("given", " ")).alias("words"))
+    padded = whole.select("name", F.posexplode("words").alias("at", "w")).filter("w != ''").withColumn("w", F.concat(F.lit("^"), "w", F.lit("$")))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("w") - GRAM + 1, F.lit(1)))
+    grams = padded.select("name", (F.col("at") > 0).alias("pos"), F.explode(F.transform(starts, lambda i: F.substring("w", i, F.lit(GRAM)))).alias("gram"))
+    grams = grams.withColumn("pos", F.when(F.col("pos"), F.lit(GIVEN)).otherwise(F.lit(1.0)))
+    weighted = _weighted(grams, whole.count(), ["name"], F.sum("pos"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+    return weighted.groupBy("name").agg(F.collect_list(F.struct("gram", "w")).alias("v")).select(
+        "name", F.map_from_entries(F.transform("v", lambda x: F.struct(x["gram"], x["w"] / norm))).alias("vec"))
+
+
+def alike_families(families: DataFrame, threshold: float = FAMILY_COSINE) -> DataFrame:
+    """(kind, fa, fb, cosine): unequal family forms of at least ``TWICE`` letters, fa < fb, of
+    trigram cosine at least ``threshold`` and at most two letter edits apart.
 
     Two vectors that close must share a trigram among those of each that come before the
     rest's norm falls under the threshold, rarest first. Only those are joined, by trigram
-    and place (an edit moves the others by one place at most), so common endings are never
+    and place (two edits move the others by two places at most), so common endings are never
     a join key unless nothing rarer is left. The exact cosine is taken of what remains.
     """
-    forms = families.select("kind", "family").distinct()
+    forms = families.select("kind", "family").distinct().filter(F.length("family") >= TWICE)
     padded = F.concat(F.lit("^"), F.col("family"), F.lit("$"))
     places = F.transform(F.sequence(F.lit(1), F.length("family")), lambda i: F.struct(i.alias("pos"), padded.substr(i, F.lit(GRAM)).alias("gram")))
-    grams = store(forms.select("kind", "family", F.explode(places).alias("p")).select("kind", "family", "p.pos", "p.gram"))
-    n = forms.count()
-    df = grams.select("kind", "gram", "family").distinct().groupBy("kind", "gram").agg(F.count("*").alias("df"))
-    # one weight per trigram and family: idf times count, at its first place
-    per = grams.groupBy("kind", "family", "gram").agg(F.count("*").alias("tf"), F.collect_set("pos").alias("at")).join(df, ["kind", "gram"])
-    weighted = per.withColumn("w", F.col("tf") * F.log1p(F.lit(float(max(n, 1))) / F.col("df")))
+    grams = forms.select("kind", "family", F.explode(places).alias("p")).select("kind", "family", "p.pos", "p.gram")
     vectors = store(
-        weighted.groupBy("kind", "family").agg(F.sort_array(F.collect_list(F.struct("df", "gram", "w", "at"))).alias("v"))
+        _weighted(grams, forms.count(), ["kind", "family"], F.count("*"))
+        .groupBy("kind", "family").agg(F.sort_array(F.collect_list(F.struct("df", "gram", "w", "at"))).alias("v"))
         .withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"])))
     )
     # running norm of what comes before each trigram; a trigram is kept while the rest still reaches the threshold
@@ -235,9 +298,9 @@ def alike_families(families: DataFrame, threshold: float = COSINE) -> DataFrame:
                    F.concat(acc["keep"], F.array(F.struct(x["gram"].alias("gram"), x["at"].alias("at"))))).otherwise(acc["keep"]).alias("keep")))
     prefix = vectors.select("kind", "family", F.explode(running["keep"]).alias("k")).select(
         "kind", "family", "k.gram", F.explode("k.at").alias("pos"))
-    left = prefix.select("kind", "gram", F.col("family").alias("fa"), F.explode(F.array(F.col("pos") - 1, F.col("pos"), F.col("pos") + 1)).alias("pos"))
+    left = prefix.select("kind", "gram", F.col("family").alias("fa"), F.explode(F.sequence(F.col("pos") - 2, F.col("pos") + 2)).alias("pos"))
     right = prefix.withColumnRenamed("family", "fb")
-    close = (F.col("fa") < F.col("fb")) & (F.abs(F.length("fa") - F.length("fb")) <= 1) & (F.levenshtein("fa", "fb", 2) >= 0)
+    close = (F.col("fa") < F.col("fb")) & (F.abs(F.length("fa") - F.length("fb")) <= 2) & (F.levenshtein("fa", "fb", 2) >= 0)
     pairs = left.join(right, ["kind", "gram", "pos"]).filter(close).select("kind", "fa", "fb").distinct()
     as_map = F.map_from_entries(F.transform("v", lambda x: F.struct(x["gram"], x["w"] / F.col("norm"))))
     va = vectors.select("kind", F.col("family").alias("fa"), as_map.alias("ma"))
@@ -248,89 +311,105 @@ def alike_families(families: DataFrame, threshold: float = COSINE) -> DataFrame:
 
 def one_edit_families(families: DataFrame) -> DataFrame:
     """(kind, fa, fb): family forms of at least ``EDITABLE`` letters, fa < fb, one insertion,
-    deletion, substitution or swap of neighbours apart (see ``one_edit``).
+    deletion, substitution or swap of neighbours apart (see ``edits``), or less, letters
+    that are ``ALIKE`` being one.
 
     Two such forms always share a key among themselves and their forms with one letter left
     out, whatever else the corpus holds. A key stands for at most as many forms as letters
     can be put into it, so no key grows with the rows.
     """
-    forms = families.select("kind", "family").distinct().filter(F.length("family") >= EDITABLE)
-    places = F.sequence(F.lit(1), F.length("family"))
-    shorter = F.transform(places, lambda i: F.concat(F.substring("family", F.lit(1), i - 1), F.substring("family", i + 1, F.length("family"))))
-    keyed = forms.select("kind", "family", F.explode(F.array_distinct(F.concat(F.array("family"), shorter))).alias("key"))
-    left, right = keyed.withColumnRenamed("family", "fa"), keyed.withColumnRenamed("family", "fb")
-    swapped = lambda i: F.concat(*[F.substring("fa", at, n) for at, n in (
-        (F.lit(1), i - 1), (i + 1, F.lit(1)), (i, F.lit(1)), (i + 2, F.length("fa")))])
-    swap = (F.length("fa") == F.length("fb")) & F.exists(F.sequence(F.lit(1), F.length("fa") - 1), lambda i: swapped(i) == F.col("fb"))
-    close = (F.levenshtein("fa", "fb", 1) >= 0) | swap  # keys also bring together other forms two edits apart
+    source, to = ("".join(chr(c) for c in x) for x in (ALIKE.keys(), ALIKE.values()))
+    forms = families.select("kind", "family").distinct().filter(F.length("family") >= EDITABLE).withColumn("t", F.translate("family", source, to))
+    places = F.sequence(F.lit(1), F.length("t"))
+    shorter = F.transform(places, lambda i: F.concat(F.substring("t", F.lit(1), i - 1), F.substring("t", i + 1, F.length("t"))))
+    keyed = forms.select("kind", "family", "t", F.explode(F.array_distinct(F.concat(F.array("t"), shorter))).alias("key"))
+    left, right = (keyed.withColumnRenamed("family", f"f{c}").withColumnRenamed("t", f"t{c}") for c in "ab")
+    swapped = lambda i: F.concat(*[F.substring("ta", at, n) for at, n in (
+        (F.lit(1), i - 1), (i + 1, F.lit(1)), (i, F.lit(1)), (i + 2, F.length("ta")))])
+    swap = (F.length("ta") == F.length("tb")) & F.exists(F.sequence(F.lit(1), F.length("ta") - 1), lambda i: swapped(i) == F.col("tb"))
+    close = (F.levenshtein("ta", "tb", 1) >= 0) | swap  # keys also bring together other forms two edits apart
     return left.join(right, ["kind", "key"]).filter((F.col("fa") < F.col("fb")) & close).select("kind", "fa", "fb").distinct()
 
 
 def _judge(batches):
-    names = ["a", "b", "s"]
-    for batch in batches:
-        out = []
-        for r in batch.to_pylist():
-            s = similarity((r["kind"], r["fa"], r["ga"], r["suffix"]), (r["kind"], r["fb"], r["gb"], r["suffix"]))
-            if s is not None:
-                out.append((r["a"], r["b"], s))
-        cols = list(zip(*out)) if out else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names)
-
-
-def name_pairs(read: DataFrame, links: DataFrame) -> DataFrame:
-    """(a, b, s): similarity of names whose families are equal or linked, a < b.
-
-    Names meet by family, suffix and an initial, so many people of one family name are not
-    paired with each other. A second reading only meets first ones.
+    for b in batches:
+        c = {n: b.column(n).to_pylist() for n in ("kind", "suffix", "fa", "ga", "fb", "gb")}
+        ok = pa.array([may_be_one((k, fa, ga, s), (k, fb, gb, s)) for k, s, fa, ga, fb, gb in zip(*c.values())], pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), ok], ["a", "b", "ok"])
+
+
+def candidates(read: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b, near), a < b: pairs of names with an equal or linked family, the same suffix and
+    given names that may be one, each pair once; ``near`` is false where only the families
+    are too far apart.
+
+    Full given names meet by their forms with at most one letter left out, short ones meet
+    all with their initial: given names that contradict each other do not meet, however
+    common their family is. A key with many rows is spread over tasks. A second reading only
+    meets first ones.
     """
     both = links.select("kind", F.col("fa").alias("family"), F.col("fb").alias("other")).unionByName(
         links.select("kind", F.col("fb").alias("family"), F.col("fa").alias("other")))
-    cols = ["kind", "suffix", F.explode("keys").alias("key"), "name", "family", "given", "first"]
-    one = read.select(*cols)
-    other = read.filter("first").select(
-        "kind", "suffix", F.explode("keys").alias("key"), F.col("name").alias("b"), F.col("family").alias("fb"), F.col("given").alias("gb"))
-    same = one.withColumn("fb", F.col("family"))
-    linked = one.join(both, ["kind", "family"]).withColumnRenamed("other", "fb")
-    met = same.unionByName(linked).join(other, ["kind", "suffix", "key", "fb"]).filter(
-        F.when(F.col("first"), F.col("name") < F.col("b")).otherwise(F.col("name") != F.col("b")))
-    pairs = met.select("kind", "suffix", F.col("name").alias("a"), F.col("family").alias("fa"), F.col("given").alias("ga"), "b", "fb", "gb").distinct()
-    judged = pairs.mapInArrow(_judge, "a string, b string, s double")
-    return judged.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("s").alias("s"))
-
-
-def average_linkage(pairs: DataFrame, threshold: float = LINKAGE) -> DataFrame:
-    """(name, cluster): average-linkage clusters over (a, b, s); pairs not given count 0.
+    same = read.withColumn("fb", F.col("family"))
+    one = same.unionByName(read.join(both, ["kind", "family"]).withColumnRenamed("other", "fb"))
+    one = one.select("kind", "suffix", F.col("name").alias("a"), F.col("family").alias("fa"), F.col("given").alias("ga"), "first", "fine", "initials", "short", "fb")
+    other = read.filter("first").select("kind", "suffix", F.col("name").alias("b"), F.col("family").alias("fb"), F.col("given").alias("gb"), "fine", "initials", "short")
+    rest = lambda df: [c for c in df.columns if c not in ("fine", "initials", "short")]
+    tag = lambda c, sign: F.transform(c, lambda k: F.concat(F.lit(sign), k))
+    left = one.select(*rest(one), F.explode(F.concat(tag("fine", "="), F.when(F.col("short"), tag("initials", "<")).otherwise(F.array().cast("array<string>")), tag("initials", ">"))).alias("key"))
+    right = other.select(*rest(other), F.explode(F.concat(tag("fine", "="), F.when(F.col("short"), tag("initials", ">")).otherwise(F.array().cast("array<string>")), tag("initials", "<"))).alias("key"))
+    met = spread_join(right, left, ["kind", "suffix", "fb", "key"], HOT_ROWS).filter(
+        F.when(F.col("first"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")))
+    pairs = met.select("kind", "suffix", "a", "fa", "ga", "b", "fb", "gb").distinct()
+    judged = pairs.mapInArrow(_judge, "a string, b string, ok int").filter("ok > 0")
+    return judged.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg((F.max("ok") == 2).alias("near"))
+
+
+def name_pairs(read: DataFrame, links: DataFrame, threshold: float = COSINE) -> DataFrame:
+    """(a, b, s): the cosine s of the pairs of ``candidates`` that reach the threshold. One
+    whose families are too far apart has s 0: it neither links nor parts."""
+    vec = name_vectors(read)
+    va, vb = (vec.select(F.col("name").alias(c), F.col("vec").alias(f"v{c}")) for c in "ab")
+    dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("vb", e["key"]), F.lit(0.0)))
+    scored = candidates(read, links).join(va, "a").join(vb, "b").select("a", "b", F.when(F.col("near"), F.round(dot, 9)).otherwise(0.0).alias("s"))
+    return scored.filter((F.col("s") >= threshold) | (F.col("s") == 0))
+
+
+def average_linkage(pairs: DataFrame, threshold: float = LINKAGE, unlinked: float = UNLINKED) -> DataFrame:
+    """(name, cluster): average-linkage clusters over (a, b, s); a pair not given counts
+    ``unlinked``.
 
     In each round every pair of clusters that are each other's nearest, by average
     similarity over all their members' pairs, merges if it reaches the threshold. Average
     linkage is reducible, so this gives the tree of one-by-one merging, with all parts of
     the graph advancing together; no component is gathered anywhere. Ties go to the pair
     of smaller names, which makes the nearest pair of all mutual: each round merges some.
-    Each round is checkpointed.
+    Each round is a written table that replaces the one before.
     """
-    links = store(pairs)
-    member = links.select(F.explode(F.array("a", "b")).alias("name")).distinct().select("name", F.col("name").alias("cluster"))
-    member = cut(member)
-    sizes = member.select(F.col("cluster").alias("id"), F.lit(1).cast("long").alias("n"))
+    links = store(pairs.select("a", "b", "s", F.lit(1).cast("long").alias("m")))
+    member = store(links.select(F.explode(F.array("a", "b")).alias("name")).distinct().select("name", F.col("name").alias("cluster")))
     while True:
+        sizes = member.groupBy(F.col("cluster").alias("id")).agg(F.count("*").alias("n"))
+        cells = F.col("na") * F.col("nb")
         avg = (
-            links.filter("s > 0").join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
+            links.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
             .join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-            .withColumn("avg", F.round(F.col("s") / (F.col("na") * F.col("nb")), 9)).filter(F.col("avg") >= threshold)
+            .withColumn("avg", F.round((F.col("s") + unlinked * (cells - F.col("m"))) / cells, 9)).filter(F.col("avg") >= threshold)
         )
         ends = avg.select("avg", "a", "b", F.explode(F.array("a", "b")).alias("end"))
         nearest = ends.groupBy("end").agg(F.min(F.struct(-F.col("avg"), "a", "b")).alias("m")).select("end", "m.a", "m.b")
-        merges = cut(nearest.groupBy("a", "b").agg(F.count("*").alias("votes")).filter("votes = 2").select("a", "b"))
+        merges = store(nearest.groupBy("a", "b").agg(F.count("*").alias("votes")).filter("votes = 2").select("a", "b"))
         if merges.isEmpty():
+            release(links, merges)
             return member
         new = merges.select(F.col("b").alias("id"), F.col("a").alias("to"))
         move = lambda df, c: df.join(new.withColumnRenamed("id", c).withColumnRenamed("to", f"__{c}"), c, "left").withColumn(
             c, F.coalesce(f"__{c}", c)).drop(f"__{c}")
         moved = move(move(links, "a"), "b").filter(F.col("a") != F.col("b"))
-        links = cut(moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s")))
-        member = cut(move(member, "cluster"))
-        sizes = member.groupBy(F.col("cluster").alias("id")).agg(F.count("*").alias("n"))
+        old = links, member, merges
+        links = store(moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s"), F.sum("m").alias("m")))
+        member = store(move(member, "cluster"))
+        release(*old)
 
 
 def author_values(*tables: DataFrame) -> DataFrame:
@@ -340,15 +419,16 @@ def author_values(*tables: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).filter("name != 'Unknown'").distinct()
 
 
-def link_names(names: DataFrame) -> DataFrame:
-    """(name, cluster) of the names that have another spelling; ``cluster`` is the smallest
+def link_names(names: DataFrame, threshold: float = COSINE) -> DataFrame:
+    """(cluster, name) of the names that have another spelling; ``cluster`` is the smallest
     spelling. Names are compared as distinct values; empty tables give no rows."""
     read = store(readings(names))
-    families = read.filter("first or kind = 'p'").select("kind", "family").distinct()
+    families = read.select("kind", "family").distinct()
     links = store(alike_families(families).select("kind", "fa", "fb").unionByName(one_edit_families(families)).distinct())
-    clusters = average_linkage(name_pairs(read, links))
+    clusters = average_linkage(name_pairs(read, links, threshold))
+    release(links)
     shared = clusters.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1").select("cluster")
-    return clusters.join(shared, "cluster", "left_semi")
+    return clusters.join(shared, "cluster", "left_semi").select("cluster", "name")
 
 
 def spelling_pairs(clusters: DataFrame) -> DataFrame:

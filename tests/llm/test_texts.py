@@ -152,17 +152,18 @@ def test_name_tables(spark):
 
 def test_alike_families_against_brute_force(spark):
     r = random.Random(2)
-    words = {"".join(r.choice(["ka", "ro", "mi", "su", "tel"]) for _ in range(4)) for _ in range(120)}
+    words = {"".join(r.choice(["ka", "ro", "mi", "su", "tel"]) for _ in range(5)) for _ in range(120)}
     words |= {w[:3] + w[4:] for w in list(words)[:40]} | {w[:2] + w[3] + w[2] + w[4:] for w in list(words)[:40]}
+    words = {w for w in words if len(w) >= names.TWICE}
     import math
     from collections import Counter
 
     grams = {w: Counter(f"^{w}$"[i:i + 3] for i in range(len(w))) for w in words}
     df = Counter(g for c in grams.values() for g in c)
-    vec = {w: {g: n * math.log1p(len(words) / df[g]) for g, n in c.items()} for w, c in grams.items()}
+    vec = {w: {g: n * math.log1p(1 / (df[g] / len(words) + names.FLOOR)) for g, n in c.items()} for w, c in grams.items()}
     norm = {w: math.sqrt(sum(x * x for x in v.values())) for w, v in vec.items()}
     cos = lambda a, b: sum(x * vec[b].get(g, 0) for g, x in vec[a].items()) / norm[a] / norm[b]
-    near = {(a, b) for a in words for b in words if a < b and names.one_edit(a, b) <= 1 and cos(a, b) >= names.COSINE}
+    near = {(a, b) for a in words for b in words if a < b and names.edits(a, b, 1) <= 1 and cos(a, b) >= names.FAMILY_COSINE}
     table = spark.createDataFrame([("p", w) for w in words], "kind string, family string")
     found = {(x["fa"], x["fb"]): x["cosine"] for x in names.alike_families(table).collect()}
     assert near <= set(found)
@@ -174,13 +175,13 @@ def test_one_edit_families_against_brute_force(spark):
     words = {"".join(r.choice("abé") for _ in range(r.randint(2, 7))) for _ in range(150)} | {"a🙂bc", "a🙂cb", "abc🙂"}
     table = spark.createDataFrame([(k, w) for k in ("p", "g") for w in words] * 2, "kind string, family string")
     expected = sorted((k, a, b) for k in ("p", "g") for a in words for b in words
-                      if a < b and names.one_edit(a, b) == 1 and min(len(a), len(b)) >= names.EDITABLE)
+                      if a < b and names.edits(a, b) == 1 and min(len(a), len(b)) >= names.EDITABLE)
     assert rows(names.one_edit_families(table)) == expected
     assert names.one_edit_families(table.limit(0)).count() == 0
 
 
-def test_names_are_linked_whatever_the_cosine(spark):
-    """Common trigrams weigh little beside those a typo makes, the less the more names there are."""
+def test_names_are_linked_whatever_the_cosine_of_their_families(spark):
+    """Common trigrams weigh little beside those a typo makes."""
     r = random.Random(6)
     others = ["Anton Kal" + "".join(r.choice("bdfgpt") for _ in range(6)) + "mar" for _ in range(300)]
     table = spark.createDataFrame([(n,) for n in ["Theodore Kalomar", "Theodore Kalumar", *others]], "name string").distinct()
@@ -189,6 +190,63 @@ def test_names_are_linked_whatever_the_cosine(spark):
     assert ("Theodore Kalomar", "Theodore Kalumar") in rows(names.spelling_pairs(names.link_names(table)))
 
 
+def test_far_spellings_and_abbreviations(spark):
+    linked = [("Jan Kowalczyk", "Jan Kovalchyk"), ("Brzeczyszczykiewicz, Anna", "Anna Brzenczyszczykiewcz"), ("William Smith", "Wm. Smith")]
+    apart = ["Katherine Lyfapikun", "Katherine Syfapizun", "Nokonuvyn Collaboration", "Vokonudyn Collaboration", "Wm. Jones", "Walter Smith"]
+    table = spark.createDataFrame([(n,) for p in linked for n in p] + [(n,) for n in apart], "name string")
+    assert rows(names.spelling_pairs(names.link_names(table))) == sorted(tuple(sorted(p)) for p in linked)
+
+
+def test_cosines_decide(spark):
+    """Cosines are those of brute force, pairs below the threshold are no links, and a higher
+    threshold gives fewer."""
+    import math
+    from collections import Counter
+
+    table = spark.createDataFrame([(n,) for g in GROUPS for n in g], "name string").distinct()
+    read = names.readings(table)
+    links = names.one_edit_families(read.select("kind", "family").distinct())
+    whole = {x["name"]: [(x["family"], 1.0)] + [(g, names.GIVEN) for g in x["given"].split(" ") if g] for x in read.filter("first").collect()}
+    tf = {}
+    for n, parts in whole.items():
+        tf[n] = Counter()
+        for w, weight in parts:
+            p = f"^{w}$"
+            for i in range(max(len(p) - 2, 1)):
+                tf[n][p[i:i + 3]] += weight
+    df = Counter(g for c in tf.values() for g in c)
+    vec = {n: {g: k * math.log1p(1 / (df[g] / len(tf) + names.FLOOR)) for g, k in c.items()} for n, c in tf.items()}
+    norm = {n: math.sqrt(sum(x * x for x in v.values())) for n, v in vec.items()}
+    cos = lambda a, b: sum(x * vec[b].get(g, 0) for g, x in vec[a].items()) / norm[a] / norm[b]
+    got = {(x["a"], x["b"]): x["s"] for x in names.name_pairs(read, links, 0.0).collect()}
+    assert len(got) > 30 and all(s == 0 or abs(s - cos(*p)) < 1e-8 for p, s in got.items())
+    counts = [names.name_pairs(read, links, t).filter("s > 0").count() for t in (0.0, 0.5, 0.7, 0.9)]
+    assert counts == sorted(counts, reverse=True) and counts[0] > counts[1] > counts[3]
+    many, few = (names.spelling_pairs(names.link_names(table, t)).count() for t in (names.COSINE, 0.8))
+    assert many > few > 0
+    # recall of brute force: every pair no rule forbids and of cosine enough is among the pairs
+    four = {x["name"]: [] for x in read.collect()}
+    for x in read.collect():
+        four[x["name"]].append(((x["kind"], x["family"], x["given"], x["suffix"]), x["first"]))
+    due = {(a, b) for a in four for b in four if a < b and cos(a, b) >= names.COSINE
+           and any(names.may_be_one(p, q) == 2 and (f or g) for p, f in four[a] for q, g in four[b])}
+    assert len(due & set(got)) >= 0.99 * len(due)
+
+
+def test_a_common_family_name_is_no_single_task(spark, monkeypatch):
+    """Given names that contradict each other don't meet, and a key with many rows is spread."""
+    r = random.Random(8)
+    given = {"".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(4)).capitalize() for _ in range(400)}
+    many = [f"{g} Smith" for g in given] + [f"{g[0]}. Smith" for g in given]
+    table = spark.createDataFrame([(n,) for n in many], "name string").distinct()
+    read = names.readings(table)
+    links = names.one_edit_families(read.select("kind", "family").distinct())
+    pairs = rows(names.candidates(read, links))
+    assert len(pairs) < 3 * len(many)  # 80,000 are of one family
+    monkeypatch.setattr(names, "HOT_ROWS", 5)
+    assert rows(names.candidates(read, links)) == pairs
+
+
 RESIDUE = [
     "Please enable JavaScript to view this paper.", "PLEASE ENABLE JAVASCRIPT TO VIEW THIS PAPER.", "404 Not Found", "A fine text. Insert acknowledgements here. More text.",
     "Results hold. Cite as: ${citation}. Then more.", "Received %DATE%, accepted %DATE%.", "{{title}}\n\n{{authors}}", "TBD", "Lorem ipsum dolor quasi tenor vitae novum.",
