@@ -260,6 +260,7 @@ GENUINE = [
     "The filler phrase lorem ipsum serves as a control stimulus in our reading study.", "In the crawl, 46% of the pages only asked the reader to enable JavaScript, and we removed them.",
     "Captcha solving is a smooth task for the channel.", "The placeholder particle of the kibat gradient is not observed.", "Variables such as $x and %name% are expanded by the finos shell before the filament runs.",
     "The set {a, b, c} has 10 elements & no cavity.", "Here a<b and c>d whenever the survey is planar.", "The matrix [[1, 2], [3, 3]] is compact.", "Error rates of 500 per hour were internal to the server wave.", "word " * 20000,
+    "The set {theorem} is closed.", "Let ${x+y}$ be the sum and {alpha_beta} the pair.", "The directive <<include>> joins two files.",
 ]
 
 
@@ -276,17 +277,57 @@ def test_prefix_index_loses_nothing():
     """Every exemplar finds itself, with any one light token missing."""
     m = residue.Matcher({}, 1000)
     for i, e in enumerate(m.items):
-        if e.residue and len(e.tokens) > 6:
+        if len(e.tokens) > 6:
             drop = min(range(len(e.tokens)), key=lambda j: m.idf[e.tokens[j]])
             words = [w for j, w in enumerate(e.tokens) if j != drop]
-            score, _, _ = m._window(i, words, 0, len(words))
-            assert score < m.coverage or any(i in m.index.get(w, ()) for w in words)
+            assert not m._windows(i, words, 0, len(words)) or any(i in m.index.get(w, ()) for w in words)
+
+
+#: Messages of other makers, not in the library and not in the test data.
+UNSEEN = [
+    "Please activate JavaScript in your browser settings to read this article.", "Scripts must be enabled to view the full text.", "Turn on JavaScript to continue.",
+    "JavaScript is turned off. Please allow scripts and reload.", "Oops! Something went wrong on our end.", "ERR_CONNECTION_REFUSED", "504 Gateway Timeout",
+    "HTTP Error 503", "We can't find the document you're looking for.", "The resource you requested could not be found.", "This article is no longer available.",
+    "Please verify that you are human.", "Checking your browser before you proceed...", "Your session has expired.", "[PLACEHOLDER FOR ABSTRACT]", "Insert figure caption here.",
+    "Type your summary here. Abstract goes here.", "Author name, affiliation of first author", "Bitte schalten Sie JavaScript ein, um fortzufahren.", "Ein Fehler ist aufgetreten.",
+    "Une erreur est survenue, veuillez réessayer.", "Ha ocurrido: se ha producido un error.", "Произошла ошибка. Попробуйте позже.", "找不到页面。", "Uncaught exception in module loader",
+    "Dear {first_name}, welcome.", "<%= article.title %>", "#{author} wrote it.", "Blah blah blah blah.", "Consectetur adipiscing elit, sed do eiusmod tempor.",
+    "An unexpected error occurred.", "Service temporarily unavailable", "Please enable cookies.", "To be announced", "qwerty asdf zxcv",
+]
+#: Sentences that hold the same words or signs in another role.
+SPOKEN = [
+    "Pages that only said the page was not found were removed from the crawl.", "We asked participants to enable scripts in half of the trials.", "The set {theorem} is closed.",
+    "Let {alpha_beta} be the pair and ${x+y}$ its sum.", "The directive <<include>> joins two files.", "A stack overflow is a common fault in recursive parsers.",
+    "Our measure of error 404 rates per mirror is stable.", "The string lorem ipsum is a filler phrase of typesetters.", "Template variables such as {{ title }} are expanded late.",
+    "The captcha task is hard for machines.", "In this section we test the test set.", "Labor and magna charta are topics in it.", "The service was unavailable to 40% of the rural population in the study.",
+    "La culpa no es del dolor.", "Connection topologies refused by the referee are listed in Table 2.", "The traceback of the alignment starts at the most recent call of the last row.",
+]
+
+
+def test_unseen_residue_and_mentions():
+    """Held out: neither list was used to write the library."""
+    m = residue.Matcher({}, 1000)
+    found, wrong = [t for t in UNSEEN if m.matches(t)], [t for t in SPOKEN if m.matches(t)]
+    assert len(found) >= 0.85 * len(UNSEEN), set(UNSEEN) - set(found)
+    assert len(wrong) <= 0.1 * len(SPOKEN), wrong
+
+
+def test_exemplars_stand_in_for_each_other():
+    """Held-out lines: a good part of the library is found without its own line."""
+    items = residue.exemplars()
+    own = [i for i, e in enumerate(items) if len(e.tokens) > 2]
+    found = 0
+    for i in own:
+        m = residue.Matcher({}, 1000, library=items[:i] + items[i + 1:])
+        words = [next(iter(residue.CLASSES[w].split())) if w in residue.CLASSES else w for w in items[i].tokens]
+        found += m.matches(" ".join(words))
+    assert found >= 0.25 * len(own)
 
 
-def test_filler_runs_and_short_fillers():
+def test_filler_in_containment_and_under_the_veto():
     m = residue.Matcher({}, 1000)
     for text in ("A fine text. Lorem ipsum dolor sit amet. More of it.", "The scan shows that lorem ipsum dolor sit amet holds for all.",
-                 "We ran it. Bla bla bla bla bla. It held.", "So we saw. Sed do eiusmod tempor incididunt."):
+                 "We ran it. Bla bla bla bla bla. It held.", "So we saw. Sed do eiusmod tempor incididunt labore."):
         assert m.matches(text), text
     for text in ("The filler phrase lorem ipsum dolor sit amet consectetur serves as a control stimulus in our reading study.",
                  "The filler phrase lorem ipsum dolor sit amet serves as a control stimulus in our reading study.",
