@@ -9,6 +9,8 @@ collide with a placeholder.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +43,24 @@ def _sub(text: Column, pattern: str, to: str) -> Column:
     return F.regexp_replace(text, pattern, to)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _where(text: Column, sign: str, change: Callable[[Column], Column]) -> Column:
+    """``change(text)`` for texts that hold ``sign``, which all it could change hold; the cheap
+    test spares the others."""
+    return _let(text, lambda t: F.when(t.contains(sign), change(t)).otherwise(t))
+
+
 def _escape(text: Column) -> Column:
-    for i, c in enumerate(RESERVED):
-        text = F.replace(text, F.lit(c), F.lit(f"{ESCAPE}{i}"))
-    return text
+    def escaped(t: Column) -> Column:
+        for i, c in enumerate(RESERVED):
+            t = F.replace(t, F.lit(c), F.lit(f"{ESCAPE}{i}"))
+        return t
+
+    return _let(text, lambda t: F.when(t.rlike(f"[{''.join(RESERVED)}]"), escaped(t)).otherwise(t))
 
 
 def _unescape(text: Column) -> Column:
@@ -53,17 +69,28 @@ def _unescape(text: Column) -> Column:
     return text
 
 
-def _continued(text: Column) -> Column:
-    """A line that begins with blanks continues the line before; runs of blanks are one."""
-    return _sub(_sub(text, r"\r?\n[ \t]+", " "), r"[^\S\r\n]{2,}+|[\x0B\f\t]", " ")
+def _prepared(text: Column) -> Column:
+    """A line that begins with blanks continues the line before; runs of blanks are one;
+    reserved characters are escaped. Null is empty."""
+    joined = _where(F.coalesce(text, F.lit("")), "\n", lambda t: _sub(t, r"\r?\n[ \t]+", " "))
+    blank = r"[^\S\r\n]{2,}+|[\x0B\f\t]"
+    return _escape(_let(joined, lambda t: F.when(t.rlike(blank), _sub(t, blank, " ")).otherwise(t)))
+
+
+def _quoted(text: Column) -> Column:
+    return text.rlike("[\"'\u201c\u00ab]")
+
+
+def _spans(text: Column) -> Column:
+    """Array of the quoted spans."""
+    return F.when(_quoted(text), F.regexp_extract_all(text, F.lit(f"({QUOTED})"), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def _masked(text: Column, around: str) -> Column:
     """The text with each quoted span replaced by its indexed placeholder."""
-    parts = F.split(text, QUOTED, -1)
-    last = F.size(parts) - 1
-    return F.array_join(F.transform(parts, lambda p, i: F.when(
-        i < last, F.concat(p, F.lit(around + OPEN), i.cast("string"), F.lit(CLOSE + around))).otherwise(p)), "")
+    held = lambda parts: F.array_join(F.transform(parts, lambda p, i: F.when(
+        i < F.size(parts) - 1, F.concat(p, F.lit(around + OPEN), i.cast("string"), F.lit(CLOSE + around))).otherwise(p)), "")
+    return F.when(_quoted(text), _let(F.split(text, QUOTED, -1), held)).otherwise(text)
 
 
 _OUTER = r"""[\s,;:|/&\u00b7\u2022"'\u201c\u201d\u00ab\u00bb\[\](){}<>]"""
@@ -78,11 +105,12 @@ def _trimmed(value: Column) -> Column:
 def _restored(pieces: Column, spans: Column) -> Column:
     """Placeholders become their spans, values are trimmed, empty ones are dropped."""
 
+    def span(piece: Column) -> Column:
+        return F.replace(F.get(spans, F.regexp_extract(piece, _SPAN, 1).try_cast("int")), F.lit('""'), F.lit('"'))
+
     def one(piece: Column) -> Column:
-        index = F.regexp_extract(piece, _SPAN, 1)
-        whole = F.when(index == "", F.replace(piece, F.lit(COMMA), F.lit(","))).otherwise(
-            F.replace(F.get(spans, index.try_cast("int")), F.lit('""'), F.lit('"')))
-        return _trimmed(_unescape(whole))
+        whole = F.when(piece.contains(OPEN), span(piece)).otherwise(F.replace(piece, F.lit(COMMA), F.lit(",")))
+        return _trimmed(_where(whole, ESCAPE, _unescape))
 
     return F.filter(F.transform(pieces, one), lambda v: v != "")
 
@@ -90,10 +118,12 @@ def _restored(pieces: Column, spans: Column) -> Column:
 def split_codes(text: Column) -> Column:
     """Array of the values of a code field: separated by white space, commas, semicolons,
     bars or slashes, perhaps in brackets; only quoted values hold any of these."""
-    text = _escape(_continued(F.coalesce(text, F.lit(""))))
-    pieces = F.split(_masked(text, " "), r"[\s\u00a0,;|\[\]{}()]+")
-    plain = F.filter(pieces, lambda p: ~F.lower(p).isin("/", "&", "+", "and", "\u00b7"))
-    return _restored(plain, F.regexp_extract_all(text, F.lit(f"({QUOTED})"), F.lit(0)))
+
+    def codes(t: Column) -> Column:
+        pieces = F.split(_masked(t, " "), r"[\s\u00a0,;|\[\]{}()]+")
+        return _restored(F.filter(pieces, lambda p: ~F.lower(p).isin("/", "&", "+", "and", "\u00b7")), _spans(t))
+
+    return _let(_prepared(text), codes)
 
 
 def split_names(text: Column) -> Column:
@@ -104,19 +134,21 @@ def split_names(text: Column) -> Column:
     family first (a lone family name, perhaps with particles, before a given name or
     initials) and the one before a suffix. Parenthesized markers are dropped.
     """
-    text = _escape(_continued(F.coalesce(text, F.lit(""))))
-    spans = F.regexp_extract_all(text, F.lit(f"({QUOTED})"), F.lit(0))
-    bare = _masked(text, "\n")
-    for _ in range(2):  # markers in markers
-        bare = _sub(bare, r"\([^()]*\)", " ")
-    bare = _sub(bare, rf"({_GROUP})\s*:", "$1\n")
-    bare = _sub(bare, r"(?i)(?<![\s,])[\s,]++(?:and|&)(?=\s)|^\s*(?:and|&)\s|\bet al\b\.?", "\n")
-    bare = _sub(bare, r"\s*[;|\u00b7\u2022]\s*|\s+/\s+|\s*[\r\n]\s*", "\n")
-    bare = _sub(bare, rf"(?<!\s)\s*+,\s*(?={_SUFFIX}\s*(?:,|\n|$))", f"{COMMA} ")
-    bare = _sub(bare, rf"(?m)(^|,)(\s*{_FAMILY}(?:{COMMA} {_SUFFIX})?)\s*,\s*(?={_GIVEN}\s*(?:,|{COMMA}|$))(\S[^,\n]*)", f"$1$2{COMMA} $3")
-    kept = _restored(F.split(bare, r"[,\n]"), spans)
-    unmarked = F.transform(kept, lambda v: _trimmed(_sub(v, r"\([^()]*\)", " ")))
-    return F.filter(unmarked, lambda v: v != "")
+    first = rf"(?m)(^|,)(\s*{_FAMILY}(?:{COMMA} {_SUFFIX})?)\s*,\s*(?={_GIVEN}\s*(?:,|{COMMA}|$))(\S[^,\n]*)"
+
+    def names(t: Column) -> Column:
+        bare = _masked(t, "\n")
+        bare = _where(bare, "(", lambda x: _sub(_sub(x, r"\([^()]*\)", " "), r"\([^()]*\)", " "))  # markers in markers
+        bare = _where(bare, ":", lambda x: _sub(x, rf"({_GROUP})\s*:", "$1\n"))
+        bare = _sub(bare, r"(?i)(?<![\s,])[\s,]++(?:and|&)(?=\s)|^\s*(?:and|&)\s|\bet al\b\.?", "\n")
+        bare = _sub(bare, r"\s*[;|\u00b7\u2022]\s*|\s+/\s+|\s*[\r\n]\s*", "\n")
+        bare = _where(bare, ",", lambda x: _sub(_sub(
+            x, rf"(?<!\s)\s*+,\s*(?={_SUFFIX}\s*(?:,|\n|$))", f"{COMMA} "), first, f"$1$2{COMMA} $3"))
+        kept = _restored(F.split(bare, r"[,\n]"), _spans(t))
+        unmarked = F.transform(kept, lambda v: F.when(v.contains("("), _trimmed(_sub(v, r"\([^()]*\)", " "))).otherwise(v))
+        return F.filter(unmarked, lambda v: v != "")
+
+    return _let(_prepared(text), names)
 
 
 def values(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
