@@ -22,7 +22,7 @@ from paperloom.operators.multivalue import split_names
 from paperloom.runtime import release, ship, spread_join, store
 
 #: Least cosine of two whole names, of two family forms in their join, and least average of two clusters that merge.
-COSINE, FAMILY_COSINE, LINKAGE = 0.2, 0.35, 0.1
+COSINE, FAMILY_COSINE, LINKAGE = 0.2, 0.5, 0.1
 #: What a pair of names that a rule parts, or that is not alike, counts in an average.
 UNLINKED = -0.5
 GRAM = 3
@@ -38,6 +38,8 @@ EDITABLE, PER_EDIT, TWICE = 4, 8, 8
 ALIKE = str.maketrans("wyz", "vis")
 #: A given name of so few letters may abbreviate another.
 SHORT = 3
+#: Names of one family beyond which they meet by keys of the given name, not all of them.
+MANY = 64
 #: Rows of one key beyond which a join spreads it over several tasks.
 HOT_ROWS = 20_000
 
@@ -197,7 +199,7 @@ def may_be_one(a: tuple[str, str, str, str], b: tuple[str, str, str, str]) -> in
         return 0
     f = edits(a[1], b[1])
     least = min(len(a[1]), len(b[1]))
-    if f > 1 and least >= TWICE:
+    if f == 2 and least >= TWICE:
         f = min(f, edits(a[1].translate(ALIKE), b[1].translate(ALIKE)))
     if f > 2 or (f and least < EDITABLE) or (f > 1 and least < TWICE):
         return 0
@@ -343,10 +345,11 @@ def candidates(read: DataFrame, links: DataFrame) -> DataFrame:
     given names that may be one, each pair once; ``near`` is false where only the families
     are too far apart.
 
-    Full given names meet by their forms with at most one letter left out, short ones meet
-    all with their initial: given names that contradict each other do not meet, however
-    common their family is. A key with many rows is spread over tasks. A second reading only
-    meets first ones.
+    In a family of more than ``MANY`` names full given names meet by their forms with at most
+    one letter left out, and short ones meet all with their initial: given names that
+    contradict each other do not meet, however common the family is. All that may be one
+    share a key, so the plan makes no difference to the pairs. A key with many rows is spread
+    over tasks. A second reading only meets first ones.
     """
     both = links.select("kind", F.col("fa").alias("family"), F.col("fb").alias("other")).unionByName(
         links.select("kind", F.col("fb").alias("family"), F.col("fa").alias("other")))
@@ -354,11 +357,18 @@ def candidates(read: DataFrame, links: DataFrame) -> DataFrame:
     one = same.unionByName(read.join(both, ["kind", "family"]).withColumnRenamed("other", "fb"))
     one = one.select("kind", "suffix", F.col("name").alias("a"), F.col("family").alias("fa"), F.col("given").alias("ga"), "first", "fine", "initials", "short", "fb")
     other = read.filter("first").select("kind", "suffix", F.col("name").alias("b"), F.col("family").alias("fb"), F.col("given").alias("gb"), "fine", "initials", "short")
-    rest = lambda df: [c for c in df.columns if c not in ("fine", "initials", "short")]
+    of = ["kind", "suffix", "fb"]
+    common = other.groupBy(*of).agg(F.count("*").alias("n")).filter(F.col("n") > MANY).select(*of, F.lit(True).alias("common"))
     tag = lambda c, sign: F.transform(c, lambda k: F.concat(F.lit(sign), k))
-    left = one.select(*rest(one), F.explode(F.concat(tag("fine", "="), F.when(F.col("short"), tag("initials", "<")).otherwise(F.array().cast("array<string>")), tag("initials", ">"))).alias("key"))
-    right = other.select(*rest(other), F.explode(F.concat(tag("fine", "="), F.when(F.col("short"), tag("initials", ">")).otherwise(F.array().cast("array<string>")), tag("initials", "<"))).alias("key"))
-    met = spread_join(right, left, ["kind", "suffix", "fb", "key"], HOT_ROWS).filter(
+    none = F.array().cast("array<string>")
+
+    def keyed(df: DataFrame, short: str, long: str) -> DataFrame:
+        keys = F.concat(tag("fine", "="), F.when(F.col("short"), tag("initials", short)).otherwise(none), tag("initials", long))
+        return df.join(common, of, "left").withColumn("key", F.explode(F.when(F.col("common"), keys).otherwise(F.array(F.lit(""))))).drop(
+            "fine", "initials", "short", "common")
+
+    left, right = keyed(one, "<", ">"), keyed(other, ">", "<")
+    met = spread_join(right, left, [*of, "key"], HOT_ROWS).filter(
         F.when(F.col("first"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")))
     pairs = met.select("kind", "suffix", "a", "fa", "ga", "b", "fb", "gb").distinct()
     judged = pairs.mapInArrow(_judge, "a string, b string, ok int").filter("ok > 0")

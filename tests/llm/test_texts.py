@@ -245,6 +245,8 @@ def test_a_common_family_name_is_no_single_task(spark, monkeypatch):
     assert len(pairs) < 3 * len(many)  # 80,000 are of one family
     monkeypatch.setattr(names, "HOT_ROWS", 5)
     assert rows(names.candidates(read, links)) == pairs
+    monkeypatch.setattr(names, "MANY", 10**6)
+    assert rows(names.candidates(read, links)) == pairs
 
 
 RESIDUE = [
