@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.scoring import bm25, idf
 from paperloom.functions.text import content_tokens, tokens
-from paperloom.runtime import dense_ids
+from paperloom.runtime import attach, dense_ids, store
 
 
 def postings(docs: DataFrame, stop: bool = True) -> DataFrame:
@@ -60,6 +60,17 @@ def id_map(keys: DataFrame, key: str = "doc_key") -> DataFrame:
     return dense_ids(keys.select(key).distinct(), [F.col(key)], "doc_id").select(key, "doc_id")
 
 
+def mapped_texts(texts: DataFrame, mapping: DataFrame, order: str) -> DataFrame:
+    """(doc_id, doc_key, text) of texts (doc_key, text, ``order``) whose key is mapped.
+
+    Texts with an unknown or null key are dropped; of several with one key the one with the
+    largest ``order`` stays, as the last one written, chosen by a partial aggregate. A null
+    text is an empty one.
+    """
+    last = texts.filter("doc_key is not null").groupBy("doc_key").agg(F.max_by(F.struct("text"), order).alias("t"))
+    return last.join(last_mapping(mapping), "doc_key").select("doc_id", "doc_key", F.coalesce("t.text", F.lit("")).alias("text"))
+
+
 def last_mapping(mapping: DataFrame) -> DataFrame:
     """One row per key: the largest id, which is the last one written."""
     return mapping.groupBy("doc_key").agg(F.max("doc_id").alias("doc_id"))
@@ -68,10 +79,12 @@ def last_mapping(mapping: DataFrame) -> DataFrame:
 def forward_index(post: DataFrame, lex: DataFrame) -> DataFrame:
     """(doc_id, word_id, freq, total, uniq): postings with ids and the document's totals.
 
-    ``total`` and ``uniq`` come from an aggregate over the already partitioned postings.
-    Words without a lexicon entry are dropped and don't count.
+    Words without a lexicon entry are dropped and don't count. The lexicon is broadcast while
+    it is small; beyond that the join spreads the frequent words, which their document
+    counts tell.
     """
-    flat = post.join(lex, "word").select("doc_id", "word_id", F.col("tf").alias("freq"))
+    counts = post.groupBy("word").agg(F.count("*").alias("df"))
+    flat = attach(post, store(lex.join(counts, "word")), "word", "df").select("doc_id", "word_id", F.col("tf").alias("freq"))
     totals = flat.groupBy("doc_id").agg(F.sum("freq").alias("total"), F.count("*").alias("uniq"))
     return flat.join(totals, "doc_id")
 
@@ -117,9 +130,10 @@ def idf_table(post: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def bm25_terms(post: DataFrame, lengths: DataFrame, stats: DataFrame) -> DataFrame:
-    """(doc_id, word, weight) for every posting."""
+    """(doc_id, word, weight) for every posting; frequent words are spread as in
+    ``forward_index``."""
     return (
-        post.join(idf_table(post, stats).select("word", "idf"), "word")
+        attach(post, store(idf_table(post, stats)), "word", "df")
         .join(lengths, "doc_id")
         .join(F.broadcast(stats))
         .select("doc_id", "word",

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import clean_upload, content_tokens, first_line_title
-from paperloom.runtime import dense_ids
+from paperloom.operators.index import forward_index, postings
+from paperloom.runtime import dense_ids, store
 
 UPLOAD_SCHEMA = (
     "title string, authors string, submitter string, update_date string, "
@@ -70,3 +71,10 @@ def appended_rows(uploads: DataFrame) -> DataFrame:
         "doc_id", "original_id", "title", "authors", F.lit("New").alias("category"), "date",
         F.size(content_tokens(F.col("value"))).cast("long").alias("dl"),
     )
+
+
+def appended_forward(docs: DataFrame, lex: DataFrame) -> DataFrame:
+    """(doc_id, word_id, freq, total, uniq): forward rows of new documents (doc_id, text) by the
+    lexicon together with ``lexicon_delta`` of them, so that no word is dropped."""
+    grown = lex.select("word_id", "word").unionByName(lexicon_delta(docs, lex))
+    return forward_index(store(postings(docs)), grown)

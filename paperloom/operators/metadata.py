@@ -24,12 +24,16 @@ def paper_metadata(papers: DataFrame) -> DataFrame:
 
 
 def extract(papers: DataFrame, mapping: DataFrame) -> DataFrame:
-    """(doc_id, original_id, title, authors, category, date) for every mapped id.
+    """(doc_id, original_id, title, authors, category, date) for every id from 0 to the
+    largest one mapped, so that a row's place is its id.
 
-    The paper with the largest ``line_no`` wins; ids without a paper get a placeholder.
-    Keys of ``mapping`` are unique after the last-wins step, so neither join multiplies.
+    The paper with the largest ``line_no`` wins; ids without a paper, mapped or not, get a
+    placeholder. Keys of ``mapping`` are unique after the last-wins step, so neither join
+    multiplies. An empty mapping gives no rows.
     """
     ids = last_mapping(mapping)
+    top = ids.agg(F.max("doc_id")).first()[0]
+    every = papers.sparkSession.range(0 if top is None else top + 1).withColumnRenamed("id", "doc_id")
     fields = ("doc_key", "title", "authors", "category", "date")
     found = (
         paper_metadata(papers)
@@ -39,8 +43,7 @@ def extract(papers: DataFrame, mapping: DataFrame) -> DataFrame:
     )
     blank = F.concat(F.lit("Unknown Title (Doc #"), F.col("doc_id").cast("string"), F.lit(")"))
     return (
-        ids.select("doc_id").distinct()
-        .join(found, "doc_id", "left")
+        every.join(found, "doc_id", "left")
         .select(
             "doc_id",
             F.coalesce("m.doc_key", F.lit("UnknownID")).alias("original_id"),

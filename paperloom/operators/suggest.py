@@ -24,10 +24,10 @@ def suggest(vocab: DataFrame, prefix: str, k: int = SHOWN) -> DataFrame:
     return best.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"), "word", "freq")
 
 
-def prefix_table(vocab: DataFrame, longest: int = 3, k: int = SHOWN) -> DataFrame:
-    """(prefix, rank, word, freq): every prefix up to ``longest`` with its first ``k`` words.
+def prefix_table(vocab: DataFrame, k: int = SHOWN) -> DataFrame:
+    """(prefix, rank, word, freq): every prefix of every word with its first ``k`` words.
     The rank limit is applied before the shuffle as well, so a hot prefix stays small."""
-    lengths = F.sequence(F.lit(1), F.least(F.length("word"), F.lit(longest)))
+    lengths = F.sequence(F.lit(1), F.length("word"))
     spread = vocab.select(
         F.explode(F.transform(lengths, lambda n: F.col("word").substr(F.lit(1), n))).alias("prefix"), "word", "freq"
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from paperloom.functions.text import SEARCH_STOPWORDS, TRAINER_STOPWORDS
 from paperloom.plans.queries import BARREL, CATEGORY, EXPANDED, PAIR, PREFIX, SINGLE
+from paperloom.plans.stored import WIDTH
 
 
 def _words(words) -> str:
@@ -11,15 +12,18 @@ def _words(words) -> str:
 
 
 STOP, STOP2 = _words(SEARCH_STOPWORDS), _words(TRAINER_STOPWORDS)
-CORPUS = "corpus as (select doc_id, cast(doc_id as varchar) doc_key, coalesce(text,'') text from documents)"
+# texts are lines of key and content; a line whose key is not in the map is skipped, and a later line of a key replaces an earlier one
+MAPPED = "mapped as (select doc_key, max(doc_id) doc_id from id_map where doc_key is not null group by 1)"
+LASTDOC = "lastdoc as (select * from documents where doc_key is not null qualify row_number() over (partition by doc_key order by doc_id desc)=1)"
+CORPUS = f"{MAPPED}, {LASTDOC}, corpus as (select m.doc_id, l.doc_key, coalesce(text,'') text from lastdoc l join mapped m using(doc_key))"
 TOK = (f"{CORPUS}, tok as (select doc_id, unnest(list_transform(regexp_extract_all(text,'[A-Za-z0-9]+'), lambda x: lower(x))) w, "
        "generate_subscripts(regexp_extract_all(text,'[A-Za-z0-9]+'),1) p from corpus)")
 KEEP = f"{TOK}, keep as (select * from tok where w not in {STOP})"
 POST = f"{KEEP}, post as (select doc_id, w word, count(*) tf from keep group by 1,2)"
 LEN = "len as (select c.doc_id, cast(count(k.w) as bigint) dl from corpus c left join keep k on k.doc_id=c.doc_id group by 1)"
-META = ("meta as (select doc_id, coalesce(doc_key,'UnknownID') id, substring(trim(split_part(coalesce(text,''),chr(10),1)),1,60) title, "
-        "coalesce(source,'Unknown') authors, coalesce(category,'N/A') category, case when doc_id % 50=0 then 'N/A' else "
-        "coalesce(strftime(fetched_at,'%Y-%m-%d'),'N/A') end date from documents)")
+META = ("meta as (select m.doc_id, l.doc_key id, substring(trim(split_part(coalesce(text,''),chr(10),1)),1,60) title, "
+        "coalesce(source,'Unknown') authors, coalesce(category,'N/A') category, coalesce(strftime(fetched_at,'%Y-%m-%d'),'N/A') date "
+        "from lastdoc l join mapped m using(doc_key))")
 C1 = r"translate(coalesce({},''), chr(10)||chr(9)||chr(13), '   ')"
 C2 = r"case when coalesce({0},'')='' then 'Unknown' else trim(replace(translate({0},'|'||chr(10)||chr(9),'-  '),chr(13),'')) end"
 N1 = "regexp_replace(regexp_replace({},'^arXiv:',''),'v[0-9]+$','')"
@@ -79,6 +83,20 @@ _ORPH = (f"ids as (select {N2.format('doc_key')} k, doc_id, mapped_at, deleted_a
          "orph as (select tab, field, row_id, case when n=0 then 'missing' when b=0 then 'late' else 'deleted' end kind, strftime(t,'%Y-%m') period from judged where a=0)")
 
 
+def _expanded(prim: str, bonus: str) -> str:
+    """The primary search ``prim`` followed by those of the associated words."""
+    return (
+        prim.replace("with ", f"with {SYN}, ", 1).replace(f"{CORPUS}, tok as", "tok as", 1)
+        + ", sdf as (select word, count(*) df from post where word in (select syn from syns) group by 1), "
+        f"sx as (select seq, syn, p.doc_id, round(ln((n_docs-df+0.5)/(df+0.5)+1.0)*(tf*2.5)/(tf+1.5*(0.25+0.75*dl/avgdl))+{bonus},6) score from post p join syns on syn=p.word join sdf on sdf.word=p.word join len using(doc_id), st), "
+        "sp as (select *, row_number() over (partition by seq order by score desc, doc_id) place from sx), "
+        "al as (select 0 src, 0 seq, rank place, doc_id, id, title, authors, category, date, score from res union all "
+        "select 1, seq, place, m.doc_id, id, '[Related to '||syn||'] '||title, authors, category, date, sp.score*0.5 from sp join meta m on m.doc_id=sp.doc_id where place<=120), "
+        "dd as (select *, row_number() over (partition by id order by src, seq, place) o from al), "
+        "rk as (select *, row_number() over (order by src, seq, place) rr from dd where o=1) "
+        "select rr as rank, doc_id, id, title, authors, category, date, round(score,6) score from rk where src=0 or rr<=60")
+
+
 def core_sql() -> dict[str, str]:
     """SQL by query name."""
     q: dict[str, str] = {}
@@ -96,7 +114,7 @@ def core_sql() -> dict[str, str]:
     ln = "list_transform(string_split(concat_ws('|',coalesce(original_id,''),coalesce(title,''),coalesce(authors,''),coalesce(category,'')),'|'), lambda x: x)"
     q["metadata_parse"] = "select line_no, " + ", ".join(
         f"coalesce(({ln})[{i+1}],'') {c}" for i, c in enumerate(("original_id", "title", "authors", "category", "date"))) + " from doc_metadata"
-    q["id_map"] = "select cast(doc_id as varchar) doc_key, row_number() over (order by cast(doc_id as varchar)) - 1 doc_id from documents"
+    q["id_map"] = f"with {CORPUS} select doc_key, row_number() over (order by doc_key) - 1 doc_id from corpus"
     lex = "lx as (select row_number() over (order by f)-1 word_id, word from (select w word, min((doc_id,p)) f from keep group by 1))"
     q["lexicon"] = f"with {KEEP}, {lex} select * from lx"
     q["forward_index"] = (f"with {POST}, {lex}, t as (select doc_id, cast(sum(tf) as bigint) total, count(*) uniq from post group by 1) "
@@ -107,6 +125,10 @@ def core_sql() -> dict[str, str]:
     q["corpus_stats"] = f"with {KEEP}, {LEN} select count(*) n_docs, round(avg(dl),6) avgdl from len"
     q["inverted_index"] = (f"with {POST} select word, count(*) df, cast(sum(tf) as bigint) cf, cast(sum(doc_id) as bigint) sum_doc, min(doc_id) min_doc, "
                            "max(doc_id) max_doc from post group by 1")
+    q["inverted_lists"] = (f"with {POST} select word, doc_id//{BARREL} block, string_agg(doc_id||':'||tf, ' ' order by doc_id) postings from post group by 1,2")
+    q["barrel_postings"] = f"with {POST}, {lex} select cast(word_id//{WIDTH} as integer) barrel, word_id, doc_id, tf freq from post join lx using(word)"
+    q["index_build"] = (f"with {POST}, {lex} select 'docs' as name, count(*) n from corpus union all select 'meta', count(*) from corpus union all select 'lengths', count(*) from corpus "
+                        "union all select 'postings', count(*) from post union all select 'barrels', count(*) from post union all select 'lexicon', count(*) from lx")
     q["barrel_stats"] = f"with {FLAT}, w as (select word_id, count(*) n from flat group by 1) select word_id//{BARREL} barrel, count(*) n_words, cast(sum(n) as bigint) n_postings from w group by 1"
     q["postings_lookup"] = f"with {POST} select doc_id, tf from post where word='{SINGLE}'"
     idf = "ln((n_docs-df+0.5)/(df+0.5)+1.0)"
@@ -121,7 +143,7 @@ def core_sql() -> dict[str, str]:
         f"{N2.format('id')} doc_key, " + ", ".join(f"{C2.format(src[f])} {f}" for f in fields) + " from raw_papers), "
         "f as (select * from (select i.doc_id, p.*, row_number() over (partition by i.doc_id order by line_no desc) rn from pm p join ids i on i.doc_key=p.doc_key) where rn=1) "
         "select u.doc_id, coalesce(f.doc_key,'UnknownID') original_id, coalesce(title,'Unknown Title (Doc #'||u.doc_id||')') title, coalesce(authors,'Unknown') authors, "
-        "coalesce(category,'N/A') category, coalesce(date,'N/A') date from (select distinct doc_id from ids) u left join f on f.doc_id=u.doc_id")
+        "coalesce(category,'N/A') category, coalesce(date,'N/A') date from (select unnest(range(0,(select max(doc_id)+1 from ids))) doc_id) u left join f on f.doc_id=u.doc_id")
     out = " select rank, doc_id, id, title, authors, category, date, score from res"
     q["search_single"] = _search(SINGLE) + out
     q["search_and"] = _search(PAIR) + out
@@ -141,29 +163,30 @@ def core_sql() -> dict[str, str]:
     q["graph_degree"] = f"with {EDGES} select src, count(*) degree from e group by 1"
     q["graph_dangling"] = f"with {EDGES} select distinct dst id from e where dst not in (select src from e)"
     q["pagerank_iter10"] = f"with {_pagerank(10)} select id, round(score,10) score from pr10"
+    keyed = ("lines as (select cast(src as varchar) s, cast(dst as varchar) r from graph_edges where src is not null), "
+             "ks as (select doc_key, row_number() over (order by doc_key)-1 id from (select s doc_key from lines union select r from lines where r is not null))")
+    q["graph_build"] = f"with {keyed} select a.id src, b.id dst, count(*) n from lines join ks a on a.doc_key=s join ks b on b.doc_key=r group by 1,2"
+    q["graph_build_nodes"] = f"with {keyed} select id, doc_key, (select count(r) from lines where s=doc_key) degree from ks"
+    # rounds stop by the L1 change; by this many it is below the bound on any graph with this damping
+    q["pagerank"] = f"with {_pagerank(50)} select id, round(score,10) score from pr50"
     q["suggest_vocab"] = f"with {POST} select word, cast(sum(tf) as bigint) freq from post group by 1 having sum(tf)>=50"
     q["suggest_top5"] = (f"with {POST}, v as (select word, cast(sum(tf) as bigint) freq from post where starts_with(word,'{PREFIX}') group by 1 having sum(tf)>=50) "
                          "select row_number() over (order by freq desc, word) as rank, word, freq from v order by freq desc, word limit 5")
     q["suggest_prefix_table"] = (
         f"with {POST}, v as (select word, cast(sum(tf) as bigint) freq from post group by 1 having sum(tf)>=50), "
-        "x as (select substring(word,1,n) prefix, word, freq from v, range(1,4) r(n) where n<=length(word)) "
+        "x as (select substring(word,1,n) prefix, word, freq from v, range(1,(select max(length(word))+1 from v)) r(n) where n<=length(word)) "
         "select * from (select prefix, row_number() over (partition by prefix order by freq desc, word) as rank, word, freq from x) where rank<=5")
     q["assoc_tokens"] = f"with {CORPUS}, x as (select doc_id, unnest({TW.replace('(t,', '(text,')}) word from corpus) select doc_id, word, count(*) tf from x group by 1,2"
     q["assoc_vocab"] = f"with {TROWS} select word, freq from voc"
     q["assoc_cooccurrence"] = f"with {COOC} select * from pairs"
     q["assoc_top20"] = f"with {COOC} select target, context, cnt, rank from top20"
+    q["assoc_export"] = (
+        f"with {COOC} select '{{\"'||word||'\":['||coalesce(string_agg('\"'||context||'\"', ',' order by rank),'')||']}}' as value "
+        "from voc left join top20 on target=word group by word")
     q["query_synonyms"] = f"with {SYN} select * from syns"
-    prim = _search(EXPANDED)
-    q["expanded_search"] = (
-        prim.replace("with ", f"with {SYN.replace(CORPUS + ', ', CORPUS + ', ', 1)}, ", 1).replace(f"{CORPUS}, tok as", "tok as", 1)
-        + ", sdf as (select word, count(*) df from post where word in (select syn from syns) group by 1), "
-        "sx as (select seq, syn, p.doc_id, round(ln((n_docs-df+0.5)/(df+0.5)+1.0)*(tf*2.5)/(tf+1.5*(0.25+0.75*dl/avgdl)),6) score from post p join syns on syn=p.word join sdf on sdf.word=p.word join len using(doc_id), st), "
-        "sp as (select *, row_number() over (partition by seq order by score desc, doc_id) place from sx), "
-        "al as (select 0 src, 0 seq, rank place, doc_id, id, title, authors, category, date, score from res union all "
-        "select 1, seq, place, m.doc_id, id, '[Related to '||syn||'] '||title, authors, category, date, sp.score*0.5 from sp join meta m on m.doc_id=sp.doc_id where place<=120), "
-        "dd as (select *, row_number() over (partition by id order by src, seq, place) o from al), "
-        "rk as (select *, row_number() over (order by src, seq, place) rr from dd where o=1) "
-        "select rr as rank, doc_id, id, title, authors, category, date, round(score,6) score from rk where src=0 or rr<=60")
+    q["expanded_search"] = _expanded(_search(EXPANDED), "0")
+    bonus = "50*coalesce((select max(score) from pr10 where pr10.id={}.doc_id),0)"
+    q["expanded_hybrid_search"] = _expanded(_search(EXPANDED, extra=_pagerank(10) + ",", bonus=bonus.format("sc")), bonus.format("p"))
     up = "replace(replace({},chr(10),' '),'|','-')"
     q["ingest_parse"] = (
         f"select line_no, coalesce({up.format('title')},'Uploaded Document') title, coalesce({up.format('coalesce(authors,submitter)')},'System Updater') authors, "
@@ -171,6 +194,20 @@ def core_sql() -> dict[str, str]:
     q["ingest_title_fallback"] = (
         "with t as (select doc_id, substring(trim(split_part(coalesce(text,''),chr(10),1)),1,60) l, coalesce(json_valid(text),false) j from documents) "
         "select doc_id, case when l='' or j then 'Uploaded Document' else l end title, 'System Updater' authors, '2025-01-01' date, 'upload/new' original_id from t")
+    raw = ("json_merge_patch('{}', to_json(struct_pack(id:=id,title:=title,abstract:=abstract,authors:=authors,categories:=categories,"
+           "update_date:=update_date,submitter:=submitter,versions:=versions)))")
+    ups = (f"with {CORPUS}, up as (select row_number() over (order by line_no)-1+(select max(doc_id)+1 from corpus) doc_id, *, {raw} j from raw_papers), "
+           f"utok as (select doc_id, lower(unnest(regexp_extract_all(cast(j as varchar),'[A-Za-z0-9]+'))) w, generate_subscripts(regexp_extract_all(cast(j as varchar),'[A-Za-z0-9]+'),1) p from up), "
+           f"ukeep as (select * from utok where w not in {STOP})")
+    q["ingest_append"] = (
+        f"{ups}, ulen as (select doc_id, count(*) dl from ukeep group by 1) select doc_id, coalesce(replace(replace(id,chr(10),''),'|','-'),'upload/new') original_id, "
+        f"coalesce({up.format('title')},'Uploaded Document') title, coalesce({up.format('coalesce(authors,submitter)')},'System Updater') authors, "
+        "'New' as category, coalesce(update_date, versions[1].created,'2025-01-01') date, coalesce(dl,0) dl from up left join ulen using(doc_id)")
+    q["ingest_forward"] = (
+        f"{ups}, {KEEP.replace(CORPUS + ', ', '', 1)}, {lex}, fresh as (select row_number() over (order by f)-1+(select max(word_id)+1 from lx) word_id, w word from "
+        "(select w, min((doc_id,p)) f from ukeep where w not in (select word from lx) group by 1)), al as (select * from lx union all select * from fresh), "
+        "fp as (select doc_id, w word, count(*) freq from ukeep group by 1,2) "
+        "select doc_id, word_id, freq, cast(sum(freq) over (partition by doc_id) as bigint) total, count(*) over (partition by doc_id) uniq from fp join al using(word)")
     newtok = (f"nt as (select line_no, lower(unnest(regexp_extract_all(coalesce(abstract,''),'[A-Za-z0-9]+'))) w, "
               "generate_subscripts(regexp_extract_all(coalesce(abstract,''),'[A-Za-z0-9]+'),1) p from raw_papers)")
     q["ingest_lexicon_delta"] = (

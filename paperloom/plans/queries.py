@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from paperloom.functions.ids import graph_key, metadata_key
 from paperloom.functions.text import clean_line, content_line, content_tokens, tokens, trainer_tokens
 from paperloom.operators import associations, expand, graph, index, ingest, metadata, multivalue, orphans, search, suggest
 from paperloom.plans import fixtures
+from paperloom.plans.stored import stored
 from paperloom.runtime import read_table, store
 from paperloom.sources import files
 
@@ -111,8 +113,8 @@ def lexicon(s, d):
 
 @query
 def forward_index(s, d):
-    post = store(_post(s, d))
-    return index.forward_index(post, index.lexicon(fixtures.corpus(s, d)))
+    docs = store(fixtures.corpus(s, d))
+    return index.forward_index(store(index.postings(docs)), index.lexicon(docs))
 
 
 @query
@@ -143,9 +145,30 @@ def barrel_stats(s, d):
     return index.barrel_stats(flat, BARREL)
 
 
+@query
+def inverted_lists(s, d):
+    """Every posting list, in blocks of ``BARREL`` documents, as ``document:count`` texts."""
+    text = lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["tf"].cast("string"))
+    return index.inverted_lists(_post(s, d), BARREL).select("word", "block", F.array_join(F.transform("postings", text), " ").alias("postings"))
+
+
+@query
+def index_build(s, d):
+    """(name, n): the rows of the stored tables that searches read, built if they are not yet."""
+    t = stored(s, d)
+    tables = {"docs": t.docs, "meta": t.meta, "postings": t.postings, "lengths": t.lengths, "lexicon": t.lexicon, "barrels": s.read.parquet(t.barrels)}
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n, df in tables.items()])
+
+
+@query
+def barrel_postings(s, d):
+    """The stored barrels read back."""
+    return s.read.parquet(stored(s, d).barrels).select("barrel", "word_id", "doc_id", "freq")
+
+
 @query
 def postings_lookup(s, d):
-    return _post(s, d).filter(F.col("word") == SINGLE).select("doc_id", "tf")
+    return stored(s, d).lookup([SINGLE]).select("doc_id", "tf")
 
 
 @query
@@ -155,7 +178,9 @@ def idf(s, d):
 
 @query
 def bm25_term(s, d):
-    w = index.bm25_terms(_post(s, d), _lengths(s, d), index.corpus_stats(_lengths(s, d)))
+    docs = store(fixtures.corpus(s, d))
+    lengths = store(index.doc_lengths(docs))
+    w = index.bm25_terms(store(index.postings(docs)), lengths, index.corpus_stats(lengths))
     return w.select("doc_id", "word", F.round("weight", 6).alias("weight"))
 
 
@@ -169,20 +194,12 @@ def metadata_extract(s, d):
 # --- search --------------------------------------------------------------------------------
 
 def _search(s, d, line, limit=0, linked=False, cap=search.RESULT_CAP) -> DataFrame:
-    cmd = search.parse_command(line)
-    docs = fixtures.corpus(s, d)
-    lengths = index.doc_lengths(docs)
-    if limit:
-        lengths = lengths.filter(F.col("doc_id") < limit)
-    hits = search.match(index.postings(docs), lengths, cmd.terms)
+    cmd, t = search.parse_command(line), stored(s, d)
+    lengths = t.lengths.filter(F.col("doc_id") < limit) if limit else t.lengths
+    hits = search.match(t.lookup(cmd.terms), lengths, cmd.terms)
     if linked:
-        hits = search.with_links(hits, _ranks(s, d))
-    return search.top(hits, fixtures.corpus_metadata(s, d), cmd.category, cmd.by_date, cap)
-
-
-def _ranks(s, d) -> DataFrame:
-    edges = graph.clean_edges(read_table(s, d, "graph_edges"))
-    return graph.pagerank(edges, max_iter=10, tol=None).ranks.withColumnRenamed("id", "doc_id")
+        hits = search.with_links(hits, t.ranks)
+    return search.top(hits, t.meta, cmd.category, cmd.by_date, cap)
 
 
 @query
@@ -266,6 +283,19 @@ def graph_dangling(s, d):
     return graph.dangling(_edges(s, d))
 
 
+@query
+def graph_build(s, d):
+    """The graph of the citation file: edges by mapped ids, with their multiplicity."""
+    return graph.build_graph(files.parse_citations(fixtures.citation_lines(s, d)))[1].groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+@query
+def graph_build_nodes(s, d):
+    """Its nodes with their keys; a document without references has degree 0."""
+    keys, _, nodes = graph.build_graph(files.parse_citations(fixtures.citation_lines(s, d)))
+    return keys.join(nodes, "id").select("id", "doc_key", "degree")
+
+
 @query
 def pagerank_iter10(s, d):
     return graph.pagerank(_edges(s, d), max_iter=10, tol=None).ranks.select("id", F.round("score", 10).alias("score"))
@@ -323,15 +353,21 @@ def query_synonyms(s, d):
     return expand.synonyms(assoc_top20(s, d), EXPANDED)
 
 
+@query
+def assoc_export(s, d):
+    """The association file's lines; words without associations have an empty list."""
+    t = stored(s, d)
+    return files.associations_json(t.assoc, t.vocabulary)
+
+
 def _expanded(s, d, ranks: DataFrame) -> DataFrame:
-    docs = fixtures.corpus(s, d)
-    post, lengths, meta = store(index.postings(docs)), index.doc_lengths(docs), fixtures.corpus_metadata(s, d)
-    syns = expand.synonyms(assoc_top20(s, d), EXPANDED)
-    extra = expand.synonym_hits(syns, post, lengths, ranks)
-    hits = search.match(post, lengths, search.parse_command(EXPANDED).terms)
-    primary = search.top(search.with_links(hits, ranks), meta)
-    return expand.merge(primary, extra, meta).select("rank", "doc_id", "id", "title", "authors", "category", "date",
-                                                     F.round("score", 6).alias("score"))
+    t, terms = stored(s, d), search.parse_command(EXPANDED).terms
+    syns = expand.synonyms(t.assoc, EXPANDED)
+    asked = [r["syn"] for r in syns.select("syn").collect()]  # at most two a query word
+    extra = expand.synonym_hits(syns, t.lookup(asked), t.lengths, ranks)
+    primary = search.top(search.with_links(search.match(t.lookup(terms), t.lengths, terms), ranks), t.meta)
+    return expand.merge(primary, extra, t.meta).select("rank", "doc_id", "id", "title", "authors", "category", "date",
+                                                       F.round("score", 6).alias("score"))
 
 
 @query
@@ -343,7 +379,7 @@ def expanded_search(s, d):
 @query
 def expanded_hybrid_search(s, d):
     """With link scores in both lists, as the engine ranks."""
-    return _expanded(s, d, store(_ranks(s, d)))
+    return _expanded(s, d, stored(s, d).ranks)
 
 
 # --- ingestion -----------------------------------------------------------------------------
@@ -374,10 +410,21 @@ def ingest_lexicon_delta(s, d):
     return ingest.lexicon_delta(_new_docs(s, d), old)
 
 
+def _assigned(s, d) -> DataFrame:
+    first = fixtures.corpus(s, d).agg(F.coalesce(F.max("doc_id") + 1, F.lit(0))).first()[0]
+    return ingest.assign_ids(_uploads(s, d), first, "line_no")
+
+
 @query
 def ingest_append(s, d):
-    first = read_table(s, d, "documents").agg(F.coalesce(F.max("doc_id") + 1, F.lit(0))).first()[0]
-    return ingest.appended_rows(ingest.assign_ids(_uploads(s, d), first, "line_no"))
+    return ingest.appended_rows(_assigned(s, d))
+
+
+@query
+def ingest_forward(s, d):
+    """The forward rows of uploads, whose lexicon grows by their new words."""
+    docs = store(_assigned(s, d).select("doc_id", F.col("value").alias("text")))
+    return ingest.appended_forward(docs, stored(s, d).lexicon.select("word_id", "word"))
 
 
 @query

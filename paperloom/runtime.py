@@ -1,4 +1,4 @@
-"""Session-level helpers shared by all operators: durable cuts of lineage and sizes."""
+"""Session-level helpers shared by all operators: durable cuts of lineage, layouts and skew."""
 
 from __future__ import annotations
 
@@ -56,6 +56,11 @@ def _work_folder(spark: SparkSession) -> str:
     return folder
 
 
+def work_path(spark: SparkSession) -> str:
+    """A new path in this session's folder."""
+    return f"{_work_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a written table; silently nothing if the session has already gone."""
     try:
@@ -72,7 +77,7 @@ def store(df: DataFrame) -> DataFrame:
     ``checkpoint()`` would run the last stage twice. For results that are dear to compute.
     """
     spark = df.sparkSession
-    path = f"{_work_folder(spark)}/{uuid.uuid4().hex}"
+    path = work_path(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._paperloom_path = path
@@ -82,20 +87,23 @@ def store(df: DataFrame) -> DataFrame:
 def release(*stored: DataFrame) -> None:
     """Delete tables that ``store`` or ``laid_out`` wrote, once nothing reads them any more."""
     for df in stored:
-        path = getattr(df, "_paperloom_path", None)
+        path, table = getattr(df, "_paperloom_path", None), getattr(df, "_paperloom_table", None)
+        if table:
+            df.sparkSession.sql(f"drop table if exists {table}")
         if path:
             discard(df.sparkSession, path)
 
 
-def spread_join(big: DataFrame, small: DataFrame, on: list[str], hot_rows: int) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], hot_rows: int, counts: DataFrame | None = None) -> DataFrame:
     """Inner join in which a key of more than ``hot_rows`` rows of ``big`` is no single task.
 
-    Such keys, fewer than rows / ``hot_rows``, are counted by a partial aggregate; their rows
-    of ``big`` are sliced by a hash of the row and those of ``small`` are copied to each
-    slice. The list of them is broadcast; a table so long that they could be too many for
-    that has its limit raised to keep them under 10,000.
+    Such keys, fewer than rows / ``hot_rows``, are found by a partial aggregate, or taken
+    from ``counts`` (on…, __n) where that is known; their rows of ``big`` are sliced by a hash
+    of the row and those of ``small`` are copied to each slice. The list of them is
+    broadcast; with so many rows that it could be too long for that, the limit is raised to
+    keep it under 10,000 keys.
     """
-    counts = store(big.groupBy(*on).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot_rows))
+    counts = store((big.groupBy(*on).agg(F.count("*").alias("__n")) if counts is None else counts).filter(F.col("__n") > hot_rows))
     limit = max(hot_rows, (counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]) // 10_000)
     hot = F.broadcast(counts.filter(F.col("__n") > limit).select(*on, F.ceil(F.col("__n") / limit).cast("int").alias("__slices")))
     slices = F.coalesce("__slices", F.lit(1))
@@ -104,23 +112,26 @@ def spread_join(big: DataFrame, small: DataFrame, on: list[str], hot_rows: int)
     return left.join(right, [*on, "__slice"]).drop("__slice")
 
 
-def cut(df: DataFrame, keep_layout: bool = False) -> DataFrame:
-    """Materialize ``df`` by ``checkpoint()`` in the shared folder and forget how it was made.
+def attach(big: DataFrame, side: DataFrame, key: str, count: str, most: int = 1_000_000, hot_rows: int = 100_000) -> DataFrame:
+    """``big`` joined with a stored table of one row per ``key`` whose column ``count`` bounds
+    the rows of ``big`` with that key: a broadcast while a count of its rows proves it
+    small, else a join that spreads hot keys."""
+    if side.count() <= most:
+        return big.join(F.broadcast(side), key)
+    return spread_join(big, side, [key], hot_rows, side.select(key, F.col(count).alias("__n")))
 
-    Unlike a cached or locally checkpointed frame, the result survives lost executors. For
-    the small states of loops, whose last stage is cheap. ``keep_layout`` lets later plans
-    see how ``df`` is partitioned and sorted, so that they need not shuffle it again; the
-    step then runs without adaptive planning, which would hide the layout.
-    """
+
+def laid_out(df: DataFrame, buckets: int, by: list[str], sort: list[str]) -> DataFrame:
+    """``store`` as a table bucketed and sorted by columns, which later joins and groupings on
+    them read without a shuffle. The catalog only holds its name, until ``release`` or the
+    end of the session."""
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    if keep_layout:
-        spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    name = f"paperloom_{uuid.uuid4().hex}"
+    path = f"{_work_folder(spark)}/{name}"
+    (df.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*sort).format("parquet").option("path", path).saveAsTable(name))
+    out = spark.table(name)
+    out._paperloom_path, out._paperloom_table = path, name
+    return out
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -108,26 +108,37 @@ def write_barrels(postings: DataFrame, path: str, width: int = 50_000) -> None:
     write_table(ranged.repartitionByRange("word_id", "doc_id"), path, ["barrel", "word_id", "doc_id"], ["barrel"])
 
 
-def lookup_barrel(spark: SparkSession, path: str, word_id: int, width: int = 50_000) -> DataFrame:
-    """Postings of one word id: partition pruning picks the barrel, row groups the word."""
-    return spark.read.parquet(path).filter(
-        (F.col("barrel") == word_id // width) & (F.col("word_id") == word_id)
-    )
+def lookup_barrel(spark: SparkSession, path: str, word_id: int | list[int], width: int = 50_000) -> DataFrame:
+    """Postings of some word ids: partition pruning picks their barrels, row groups the words."""
+    ids = word_id if isinstance(word_id, list) else [word_id]
+    if not ids:
+        return spark.read.parquet(path).filter(F.lit(False))
+    barrels = sorted({i // width for i in ids})
+    return spark.read.parquet(path).filter(F.col("barrel").isin(barrels) & F.col("word_id").isin(ids))
 
 
-def associations_json(assoc: DataFrame) -> DataFrame:
-    """One JSON object per target word: ``{"word": [associated words in rank order]}``."""
-    ranked = F.sort_array(F.collect_list(F.struct("rank", "context")))
-    return assoc.groupBy("target").agg(F.transform(ranked, lambda s: s["context"]).alias("words")).select(
-        F.to_json(F.create_map("target", "words")).alias("value")
-    )
+def associations_json(assoc: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
+    """(value): one JSON object per target word: ``{"word": [associated words in rank order]}``. Words of
+    ``vocab`` without any get an empty list."""
+    ranked = F.sort_array(F.collect_list(F.struct("rank", "context")))  # at most k of a word
+    lists = assoc.groupBy("target").agg(F.transform(ranked, lambda s: s["context"]).alias("words"))
+    if vocab is not None:
+        lists = vocab.select(F.col("word").alias("target")).join(lists, "target", "left").withColumn(
+            "words", F.coalesce("words", F.array().cast("array<string>")))
+    return lists.select(F.to_json(F.create_map("target", "words")).alias("value"))
+
+
+def write_associations(assoc: DataFrame, vocab: DataFrame, path: str) -> None:
+    """Sink of the association lists."""
+    associations_json(assoc, vocab).write.mode("overwrite").text(path)
 
 
 def read_associations(spark: SparkSession, path: str) -> DataFrame:
-    """Inverse of ``associations_json``: rows (target, rank, context)."""
+    """Inverse of ``associations_json``: rows (target, rank, context); a word with an empty
+    list has one row without rank and context."""
     return (
         spark.read.text(path)
         .select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("target", "words"))
-        .select("target", F.posexplode("words").alias("pos", "context"))
+        .select("target", F.posexplode_outer("words").alias("pos", "context"))
         .select("target", (F.col("pos") + 1).cast("long").alias("rank"), "context")
     )

@@ -49,6 +49,29 @@ def test_upload(engine, tmp_path):
     assert words.count() == 0
 
 
+def test_uploads_are_published_whole(engine, tmp_path, monkeypatch):
+    """A failure before the end leaves the index as it was; a repeat adds each file once."""
+    import pytest as pt
+
+    (tmp_path / "c.txt").write_text("Pulsar deep\nbody")
+    before, n = engine.version(), engine.table("lengths").count()
+    monkeypatch.setattr(engine, "_add_version", lambda segments: (_ for _ in ()).throw(OSError("lost")))
+    with pt.raises(OSError):
+        engine.upload(str(tmp_path))
+    assert engine.version() == before and engine.hits("pulsar").count() == 0 and engine.table("lengths").count() == n
+    monkeypatch.undo()
+    assert engine.upload(str(tmp_path)) == 1
+    assert engine.hits("pulsar").count() == 1 and engine.table("lengths").count() == n + 1
+    newest = engine.segments(engine.version())[-1]
+    forward = engine.spark.read.parquet(f"{engine.path}/{newest}/forward")
+    assert forward.agg({"freq": "sum"}).first()[0] == engine.table("lengths").filter(f"doc_id = {n}").first()["dl"]
+
+
+def test_command_stream(engine):
+    answers = list(engine.run(["/suggest de", "deep net\n", "exit\n", "deep"]))
+    assert len(answers) == 2 and answers[0] == {"suggestions": ["deep"]} and answers[1]["results"] and answers[1]["time_ms"] >= 0
+
+
 def plan_of(df) -> str:
     return df._jdf.queryExecution().toString()
 

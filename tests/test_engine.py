@@ -138,8 +138,9 @@ def test_metadata(spark):
         [(0, "arXiv:a1v2", "Old", None, "c", "d"), (1, "a1", "New|x", "", "c", "d"), (2, "zz", "t", "a", "c", "d"), (3, None, None, None, None, None)],
         "line_no long, id string, title string, authors string, categories string, update_date string")
     ids = spark.createDataFrame([("a1", 5), ("b", 7), ("b", 9)], "doc_key string, doc_id long")
-    assert rows(metadata.extract(papers, ids)) == [
-        (5, "a1", "New-x", "Unknown", "c", "d"), (9, "UnknownID", "Unknown Title (Doc #9)", "Unknown", "N/A", "N/A")]
+    blank = lambda i: (i, "UnknownID", f"Unknown Title (Doc #{i})", "Unknown", "N/A", "N/A")
+    assert rows(metadata.extract(papers, ids)) == [(5, "a1", "New-x", "Unknown", "c", "d") if i == 5 else blank(i) for i in range(10)]
+    assert metadata.extract(papers, ids.limit(0)).count() == 0
 
 
 def test_parsers(spark):
@@ -163,6 +164,37 @@ def test_files_round_trip(spark, tmp_path):
     assoc = spark.createDataFrame([("a", 1, "b"), ("a", 2, "c")], "target string, rank long, context string")
     files.associations_json(assoc).write.text(str(tmp_path / "assoc"))
     assert rows(files.read_associations(spark, str(tmp_path / "assoc"))) == [("a", 1, "b"), ("a", 2, "c")]
+    vocab = spark.createDataFrame([("a",), ("lone",)], "word string")
+    assert rows(files.associations_json(assoc, vocab)) == [('{"a":["b","c"]}',), ('{"lone":[]}',)]
+    files.write_associations(assoc, vocab, str(tmp_path / "all"))
+    assert files.read_associations(spark, str(tmp_path / "all")).filter("rank is null").first()["target"] == "lone"
+    assert files.lookup_barrel(spark, str(tmp_path / "barrels"), [4, 6], width=3).count() == 14
+    assert files.lookup_barrel(spark, str(tmp_path / "barrels"), [], width=3).count() == 0
+
+
+def test_texts_meet_the_map(spark):
+    texts = spark.createDataFrame([("a", "old", 1), ("a", "new", 2), ("zz", "x", 3), (None, "y", 4), ("b", None, 5)], "doc_key string, text string, n long")
+    ids = spark.createDataFrame([("a", 3), ("a", 7), ("b", 1), (None, 9)], "doc_key string, doc_id long")
+    assert rows(index.mapped_texts(texts, ids, "n")) == [(1, "b", ""), (7, "a", "new")]
+
+
+def test_graph_of_citations(spark):
+    lines = spark.createDataFrame([('{"arXiv:b1v2": ["a", "a", "c"], "d": []}',), ('{"c": ["b1"]}',), ("",), ("bad",)], "value string")
+    keys, edges, nodes = graph.build_graph(files.parse_citations(lines))
+    assert rows(keys) == [("a", 0), ("b1", 1), ("c", 2), ("d", 3)]
+    assert rows(edges) == [(1, 0), (1, 0), (1, 2), (2, 1)]
+    assert rows(nodes) == [(0, 0), (1, 3), (2, 1), (3, 0)]
+
+
+def test_spread_join_and_attach(spark):
+    from paperloom.runtime import attach, release, spread_join, store
+
+    big = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(900)], "k long, v long")
+    small = store(spark.createDataFrame([(k, k * 10, 900) for k in range(0, 900, 2)], "k long, w long, n long"))
+    expected = rows(big.join(small.drop("n"), "k"))
+    assert rows(spread_join(big, small.drop("n"), ["k"], 10)) == expected
+    assert rows(attach(big, small, "k", "n", most=0, hot_rows=10).drop("n")) == expected == rows(attach(big, small, "k", "n").drop("n"))
+    release(small)
 
 
 def test_ingest(spark):
@@ -201,7 +233,7 @@ def test_expanded_hybrid_search_ranks_by_links(spark, monkeypatch):
     given = spark.createDataFrame([(1, "spectrum", "noisy")], "seq long, word string, syn string")  # this data associates nothing
     monkeypatch.setattr(queries.expand, "synonyms", lambda *_: given)
     d = "/root/testdata/sf0.001"
-    links = {x["doc_id"]: x["score"] for x in queries._ranks(spark, d).collect()}
+    links = {x["doc_id"]: x["score"] for x in queries.stored(spark, d).ranks.collect()}
     found = queries.REGISTRY["expanded_hybrid_search"](spark, d).collect()
     plain = {(x["doc_id"], x["title"]): x["score"] for x in queries.REGISTRY["expanded_search"](spark, d).collect()}
     both = [(x, plain[x["doc_id"], x["title"]]) for x in found if (x["doc_id"], x["title"]) in plain]
