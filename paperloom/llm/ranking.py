@@ -1,13 +1,18 @@
 """Problem 1: one ranking from several differently scaled scores.
 
-Scores are replaced by their positions inside the group, so neither range nor distribution
-matters; the first principal component of the positions' correlation matrix weighs them.
+Scores are turned to their declared directions and replaced by their positions inside the
+group, so neither range nor distribution matters; the first principal component of the
+positions' correlation matrix that agrees with the directions weighs them.
 """
 
 from __future__ import annotations
 
+import operator
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.runtime import dense_ids, store
@@ -31,14 +36,49 @@ def positions(df: DataFrame, group: str, item: str, scores: list[str]) -> DataFr
         *[c for c in df.columns], "n", *[(F.col(f"__{s}") - F.col("__start") + 1).alias(f"pos_{s}") for s in scores])
 
 
-def loadings(placed: DataFrame, scores: list[str], directions: list[int]) -> list[float]:
-    """First principal component of the correlation matrix of the rank-transformed scores.
+@dataclass(frozen=True)
+class Component:
+    """A principal component of rank-transformed scores: its loadings, its eigenvalue and its
+    place among the components, 1 for the first. Place 0 is no component but equal weights,
+    where no component agrees with the declared directions."""
+
+    loadings: list[float]
+    eigenvalue: float
+    place: int
+
 
-    One aggregation gives all cross products; only this k-by-k matrix reaches the driver.
-    Each loading gets the sign of its declared direction (1: high is good). A constant
-    score has correlation 0 with the others; an empty table gives equal loadings.
+def oriented_component(corr: np.ndarray) -> Component:
+    """The first principal component of a correlation matrix whose loadings have one sign.
+
+    Scores are turned to their declared directions before, so a component that ranks must
+    have no negative loading once its sign as a whole is fixed; the sign of a single loading
+    is never changed. If scores run against each other, the leading component contrasts them
+    and is passed over; the place says so. Equal eigenvalues are taken in order of the
+    loadings' sum, largest first, so that equal weights win a tie.
     """
-    u = {s: (F.lit(0.5) - (F.col(f"pos_{s}") - 0.5) / F.col("n")) for s in scores}
+    k = len(corr)
+    values, vectors = np.linalg.eigh(corr)
+    equal = np.full(k, k**-0.5)
+    found = []
+    for v, x in zip(values, vectors.T):
+        x = x if x.sum() >= 0 else -x
+        found.append((-round(float(v), 9), -float(x.sum()), x))
+    along = float(equal @ corr @ equal)
+    if np.allclose(corr @ equal, along * equal, atol=1e-9):  # so within an eigenspace, whatever basis was returned
+        found.append((-round(along, 9), -float(equal.sum()) - 1.0, equal))
+    found.sort(key=lambda f: f[:2])
+    for _, _, x in found:
+        if (x >= -1e-9).all():
+            value = float(x @ corr @ x)
+            return Component([max(float(y), 0.0) for y in x], value, 1 + sum(float(v) > value + 1e-9 for v in values))
+    return Component([float(y) for y in equal], along, 0)
+
+
+def component(placed: DataFrame, scores: list[str]) -> Component:
+    """``oriented_component`` of the scores' positions in ``placed``. One aggregation gives all
+    cross products; only this k-by-k matrix reaches the driver. A constant score has
+    correlation 0 with the others; an empty table gives equal loadings."""
+    u = _standing(scores)
     pairs = [(a, b) for i, a in enumerate(scores) for b in scores[i:]]
     row = placed.agg(*[F.sum(u[a] * u[b]).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
     k = len(scores)
@@ -50,25 +90,29 @@ def loadings(placed: DataFrame, scores: list[str], directions: list[int]) -> lis
     safe = np.where(scale > 0, scale, 1.0)
     corr = m / np.outer(safe, safe)
     np.fill_diagonal(corr, 1.0)
-    first = np.abs(np.linalg.eigh(corr)[1][:, -1])
-    if not first.any():
-        first = np.full(k, k**-0.5)
-    return [float(x) * d for x, d in zip(first, directions)]
+    return oriented_component(corr)
+
+
+def _standing(scores: list[str]) -> dict[str, Column]:
+    """Each score's position as a number around 0, the best item's nearly one half."""
+    return {s: F.lit(0.5) - (F.col(f"pos_{s}") - 0.5) / F.col("n") for s in scores}
 
 
-def rank_items(df: DataFrame, group: str, item: str, scores: list[str], directions: list[int] | None = None) -> DataFrame:
-    """``positions`` plus ``projection``: the items' coordinate on the oriented component.
+def rank_items(df: DataFrame, group: str, item: str, scores: list[str], directions: list[int] | None = None) -> tuple[DataFrame, Component]:
+    """``positions`` plus ``projection``, the items' coordinate on the oriented component, and
+    the component.
 
-    Rows must have no null or NaN score and (group, item) must be unique; see ``clean``.
-    Sorting by projection descending, then item, gives the ranking.
+    ``directions`` says for each score whether high (1) or low (-1) is good; scores are
+    turned before they are ranked. Rows must have no null or NaN score and (group, item)
+    must be unique; see ``clean_hits``. Sorting by projection descending, then item, gives
+    the ranking.
     """
-    placed = positions(df, group, item, scores)
-    w = loadings(placed, scores, directions or [1] * len(scores))
-    u = [(F.lit(0.5) - (F.col(f"pos_{s}") - 0.5) / F.col("n")) * F.lit(x) for s, x in zip(scores, w)]
-    total = u[0]
-    for x in u[1:]:
-        total = total + x
-    return placed.withColumn("projection", F.round(total, 9))
+    turned = [F.col(s) if d > 0 else (-F.col(s)).alias(s) for s, d in zip(scores, directions or [1] * len(scores))]
+    placed = positions(df.select(group, item, *turned), group, item, scores)
+    found = component(placed, scores)
+    u = _standing(scores)
+    total = reduce(operator.add, [u[s] * F.lit(x) for s, x in zip(scores, found.loadings)])
+    return placed.withColumn("projection", F.round(total, 9)), found
 
 
 def places(ranked: DataFrame, group: str, item: str) -> DataFrame:
@@ -101,8 +145,8 @@ def near_top(ranked: DataFrame, k: int = 5, least: int = 10) -> DataFrame:
     """(query_id, doc_id) among the first ``k`` by each of two scores, in queries with at
     least ``least`` documents.
 
-    Two loadings of a two-score component are equal, so the projection orders by the sum
-    of positions. A case has a sum of at most 2k, and fewer than 2k documents have one:
+    The loadings of a two-score component that agrees with the directions are equal, so the
+    projection orders by the sum of positions. A case has a sum of at most 2k, and fewer than 2k documents have one:
     the rows are taken from the first 2k of each query, by projection, and then checked.
     """
     from pyspark.sql.window import Window
