@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.text import tokens
 from paperloom.llm.terms import cells
-from paperloom.runtime import store
+from paperloom.runtime import attach, store
 
 
 def title_words(meta: DataFrame) -> DataFrame:
@@ -20,38 +20,42 @@ def title_words(meta: DataFrame) -> DataFrame:
 
 
 def residuals(cell: DataFrame, titles: DataFrame) -> DataFrame:
+    """``scored`` of the cells and the words of titles."""
+    both = (
+        cell.select("doc_id", "word", "freq", F.lit(False).alias("titled"))
+        .unionByName(titles.select("doc_id", "word", F.lit(0).cast("long").alias("freq"), F.lit(True).alias("titled")))
+        .groupBy("doc_id", "word").agg(F.sum("freq").alias("freq"), F.max("titled").alias("titled"))
+    )
+    return scored(both)
+
+
+def scored(table: DataFrame) -> DataFrame:
     """(doc_id, word, freq, docs, total, indexed, titled, residual) for each word of each document.
 
-    The table has one cell per document and word: the index count, or 1 for a word that
-    only the title has (``indexed`` false). The adjusted residual is
-    ``(o - e) / sqrt(e (1 - r/N) (1 - c/N))`` with row sum r, column sum c, grand total N
-    and ``e = r c / N``; a margin equal to N leaves no variance and gives 0. ``docs``
-    counts the indexed documents of the word, ``freq`` the indexed count (0 if none),
-    ``total`` is the column sum.
-    Margins are partial sums by key; N is one number.
+    ``table`` has one cell (doc_id, word, freq, titled) per document and word: the index
+    count, or 0 for a word that only the title has (``indexed`` false), which counts as 1.
+    The adjusted residual is ``(o - e) / sqrt(e (1 - r/N) (1 - c/N))`` with row sum r,
+    column sum c, grand total N and ``e = r c / N``; a margin equal to N leaves no variance
+    and gives 0. ``docs`` counts the indexed documents of the word, ``freq`` the indexed
+    count (0 if none), ``total`` is the column sum. Margins are partial sums by key, stored
+    once; N is one number. A margin bounds the rows with its key, so that its join can tell
+    the hot keys by it.
     """
-    both = (
-        cell.select("doc_id", "word", "freq", F.lit(0).alias("t"))
-        .unionByName(titles.select("doc_id", "word", F.lit(0).cast("long").alias("freq"), F.lit(1).alias("t")))
-        .groupBy("doc_id", "word").agg(F.sum("freq").alias("freq"), F.max("t").alias("t"))
-    )
-    table = store(both.withColumn("o", F.greatest("freq", F.lit(1))))
-    grand = table.agg(F.coalesce(F.sum("o"), F.lit(0))).first()[0]
-    n = F.lit(float(max(grand, 1)))
-    rows = table.groupBy("doc_id").agg(F.sum("o").alias("r"))
-    cols = table.groupBy("word").agg(F.sum("o").alias("c"), F.sum((F.col("freq") > 0).cast("long")).alias("docs"))
+    table = store(table.withColumn("o", F.greatest("freq", F.lit(1))))
+    rows = store(table.groupBy("doc_id").agg(F.sum("o").alias("r")))
+    cols = store(table.groupBy("word").agg(F.sum("o").alias("c"), F.sum((F.col("freq") > 0).cast("long")).alias("docs")))
+    n = F.lit(float(max(cols.agg(F.sum("c")).first()[0] or 0, 1)))
     e = F.col("r") * F.col("c") / n
     spread = e * (1 - F.col("r") / n) * (1 - F.col("c") / n)
     score = F.when(spread > 0, (F.col("o") - e) / F.sqrt(spread)).otherwise(F.lit(0.0))
-    return table.join(cols, "word").join(rows, "doc_id").select(
-        "doc_id", "word", "freq", "docs", F.col("c").alias("total"), (F.col("freq") > 0).alias("indexed"), (F.col("t") == 1).alias("titled"),
-        score.alias("residual"))
+    return attach(attach(table, cols, "word", "c"), rows, "doc_id", "r").select(
+        "doc_id", "word", "freq", "docs", F.col("c").alias("total"), (F.col("freq") > 0).alias("indexed"), "titled", score.alias("residual"))
 
 
 def score_words(index: DataFrame, lexicon: DataFrame, meta: DataFrame) -> DataFrame:
-    """``residuals`` of an index with its lexicon and titles; rows and words count as in
+    """``scored`` of an index with its lexicon and titles; rows and words count as in
     ``terms.cells``. Empty tables give no rows."""
-    return residuals(cells(index, lexicon), title_words(meta))
+    return scored(cells(index, lexicon, title_words(meta)))
 
 
 def beyond_doubt(scored: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """Problem 9: mixing sources to target shares of the total size.
 
-Natural shares q (tokens per source) are tempered: ``p ~ q ** a``, the exponent a found by
-bisection to meet a target entropy or a repetition limit. With given target weights w the
-tilt ``p ~ q * (w / q) ** a`` runs from the natural shares (a = 0) to the targets (a = 1);
-the largest a whose repetitions stay within their limits is found the same way.
+Natural shares q (tokens per source) are tempered: ``p ~ q ** a``. With target weights w the
+tilt ``p ~ q * (w / q) ** a`` runs from the natural shares (a = 0) to the targets (a = 1):
+w / q is how often a source would be repeated, and the exponent tempers it. A source that
+would pass its own limit is filled to the limit, and the others share what it leaves. The
+exponent is bisected to meet a limit on the repetition of the whole mixture, or a target
+entropy. The weights are then realised as budgeted block permutations.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperloom.runtime import cut, store
+from paperloom.runtime import store
 
 #: Blocks a source is cut into for its permutation.
 BLOCKS = 4096
@@ -60,43 +62,71 @@ def exponent_for_entropy(q: dict[str, float], target: float) -> float:
     return bisect_exponent(lambda a: entropy(temper(q, a)) >= target, 0.0, 8.0)
 
 
-def plan(tokens: dict[str, int], weights: dict[str, float], repeats: dict[str, int], budget: float | None = None) -> tuple[dict[str, int], float]:
+def filled(q: dict[str, float], w: dict[str, float], full: dict[str, float], a: float, budget: float) -> dict[str, float]:
+    """Tokens per source of the tilt with exponent ``a``, no source above ``full``: those that
+    would be are filled, and the rest of the budget goes to the others in their ratios, until
+    none is above or all are full."""
+    ratio = {s: x * (w[s] / x) ** a for s, x in q.items()}
+    out: dict[str, float] = {}
+    free = set(q)
+    while free:
+        left, total = budget - sum(out.values()), sum(ratio[s] for s in sorted(free))
+        want = {s: ratio[s] / total * left for s in sorted(free)}
+        over = {s for s in free if want[s] > full[s]}
+        if not over:
+            return out | want
+        out |= {s: full[s] for s in sorted(over)}
+        free -= over
+    return out
+
+
+def repeated_share(used: dict[str, float], tokens: dict[str, int]) -> float:
+    """Share of a mixture's tokens that come from second and later uses of a row."""
+    total = sum(used.values())
+    return sum(max(0.0, x - tokens[s]) for s, x in used.items()) / total if total else 0.0
+
+
+def plan(
+    tokens: dict[str, int], weights: dict[str, float], repeats: dict[str, int], budget: float | None = None, repeated: float = 1.0
+) -> tuple[dict[str, int], float]:
     """Token budgets per source and the exponent used.
 
     Weights are normalized over the sources that have tokens. Without a budget the total
-    is the largest at which the targets hold within all limits, and the exponent is 1.
-    With a budget too large for that, the exponent is lowered just enough; a source whose
-    natural share alone would break its limit is filled to the limit.
+    is the largest at which the targets hold within all limits, and the exponent is 1. With
+    a budget, sources are filled to their limits where the targets ask for more, and the
+    exponent is the largest at which at most ``repeated`` of the mixture are repetitions
+    (these grow with it): 1 if the targets keep to that, 0 if not even the natural shares do.
     """
     q = _normal({s: float(t) for s, t in tokens.items() if t > 0 and weights.get(s, 0) > 0 and repeats.get(s, 0) > 0})
     if not q:
         return {}, 1.0
-    full = {s: tokens[s] * repeats[s] for s in q}
+    full = {s: float(tokens[s] * repeats[s]) for s in q}
     ideal = temper(q, 1.0, weights)
     if budget is None:
-        budget = min(full[s] / ideal[s] for s in q)
-    a = bisect_exponent(lambda a: all(budget * x <= full[s] * (1 + 1e-9) for s, x in temper(q, a, weights).items()))
-    shares = temper(q, a, weights)
-    return {s: min(full[s], int(budget * x + 1e-6)) for s, x in shares.items()}, a
+        budget, repeated = min(full[s] / ideal[s] for s in q), 1.0
+    used = lambda a: filled(q, ideal, full, a, budget)
+    a = bisect_exponent(lambda a: repeated_share(used(a), tokens) <= repeated + 1e-12)
+    return {s: min(int(full[s]), int(x + 1e-6)) for s, x in used(a).items()}, a
 
 
 def usable_tokens(tokens: dict[str, int], weights: dict[str, float], repeats: dict[str, int]) -> int:
-    """Tokens of the sources that may be used at all: one pass over all of them is always
-    within their limits, at exponent 0."""
+    """Tokens of the sources that may be used at all: one pass over all of them."""
     return sum(t for s, t in tokens.items() if t > 0 and weights.get(s, 0) > 0 and repeats.get(s, 0) > 0)
 
 
 def mix(
-    sized: DataFrame, targets: DataFrame, budget: float | None = None, blocks: int = BLOCKS, passes: float | None = None
+    sized: DataFrame, targets: DataFrame, budget: float | None = None, blocks: int = BLOCKS, passes: float | None = None, repeated: float = 1.0
 ) -> tuple[DataFrame, DataFrame]:
     """The mixture and its report. ``passes`` gives the budget as a multiple of
-    ``usable_tokens``, instead of ``budget``; the report then has the exponent, too.
+    ``usable_tokens``, instead of ``budget``; ``repeated`` is the share of the mixture that
+    may be repetitions. See ``plan``.
 
     ``sized`` is (doc_id, source, n_tokens) with one row per record, other columns are left out; ``targets`` is
     (source, weight, max_repeats), whose size is that of the mixture's plan and is held on
     the driver together with one token sum per targeted source. The mixture is (doc_id,
     source, n_tokens, uses): rows with uses >= 1. The report is (source, weight, max_repeats,
-    tokens, used_tokens, share, records, most_uses) with one row per target.
+    tokens, used_tokens, share, records, most_uses, limited, exponent) with one row per
+    target; ``limited`` says that the source is filled to its limit.
 
     Rows without a target, with a null source or without tokens are not used. A target
     listed twice adds its weights up, with the smaller limit. A source gets
@@ -113,12 +143,12 @@ def mix(
         .groupBy("source").agg(F.sum("weight").alias("weight"), F.coalesce(F.min("max_repeats"), F.lit(1)).alias("max_repeats"))).collect()}
     known = F.broadcast(spark.createDataFrame([(s,) for s in goal], "source string"))
     rows = rows.join(known, "source").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(blocks)))
-    per_block = cut(rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("t")))
+    per_block = store(rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("t")))
     tokens = {r["source"]: r["t"] for r in per_block.groupBy("source").agg(F.sum("t").alias("t")).collect()}
     weights, repeats = {s: w for s, (w, _) in goal.items()}, {s: m for s, (_, m) in goal.items()}
     if passes is not None:
         budget = passes * usable_tokens(tokens, weights, repeats)
-    budgets, exponent = plan(tokens, weights, repeats, budget)
+    budgets, exponent = plan(tokens, weights, repeats, budget, repeated)
 
     plans = spark.createDataFrame(
         [(s, b // tokens[s], b % tokens[s]) for s, b in budgets.items()], "source string, passes long, rest long")
@@ -142,9 +172,11 @@ def mix(
     all_targets = spark.createDataFrame(
         [(s, float(w), int(m), int(tokens.get(s, 0))) for s, (w, m) in goal.items()],
         "source string, weight double, max_repeats long, tokens long")
-    total = F.sum("used_tokens").over(Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    report = all_targets.join(used, "source", "left").select(
+    whole_mixture = used.agg(F.sum("used_tokens").alias("total"))
+    limited = [s for s, b in budgets.items() if b >= tokens[s] * repeats[s]]
+    report = all_targets.join(used, "source", "left").join(F.broadcast(whole_mixture)).select(
         "source", "weight", "max_repeats", "tokens", F.coalesce("used_tokens", F.lit(0)).cast("long").alias("used_tokens"),
         F.coalesce("records", F.lit(0)).cast("long").alias("records"), F.coalesce("most_uses", F.lit(0)).cast("long").alias("most_uses"),
-        F.coalesce(F.col("used_tokens") / total, F.lit(0.0)).alias("share"))
-    return mixture, report if passes is None else report.withColumn("exponent", F.lit(float(exponent)))
+        F.coalesce(F.col("used_tokens") / F.col("total"), F.lit(0.0)).alias("share"),
+        (F.col("source").isin(limited) if limited else F.lit(False)).alias("limited"), F.lit(float(exponent)).alias("exponent"))
+    return mixture, report

@@ -9,8 +9,12 @@ _HITS = (
     "p as (select *, count(*) over (partition by query_id) n, row_number() over (partition by query_id order by score desc, doc_id) ps, "
     "row_number() over (partition by query_id order by link desc, doc_id) pl from h)"
 )
+_PART = (
+    "u as (select *, 0.5-(ps-0.5)/n x, 0.5-(pl-0.5)/n y from p), "
+    "c as (select coalesce(sum(x*y)/sqrt(sum(x*x)*sum(y*y)),0) r, sqrt(0.5) a from u)"
+)
 _CELLS = (
-    "ids as (select word_id, min(lower(regexp_replace(word,'^\\s+|\\s+$','','g'))) word from lexicon where word_id is not null and regexp_replace(word,'^\\s+|\\s+$','','g')<>'' group by 1), "
+    "ids as (select distinct word_id, lower(regexp_replace(word,'^\\s+|\\s+$','','g')) word from lexicon where word_id is not null and regexp_replace(word,'^\\s+|\\s+$','','g')<>''), "
     "r as (select distinct f.doc_id, ids.word, f.word_id, f.freq from forward_index f join ids using(word_id) where f.freq>0 and f.doc_id is not null), "
     "cell as (select doc_id, word, cast(sum(freq) as bigint) freq from r group by 1,2)"
 )
@@ -31,9 +35,14 @@ def llm_sql() -> dict[str, str]:
     """SQL by query name."""
     return {
         "p1_found": f"with {_HITS} select query_id, doc_id from p where n>=10 and ps<=5 and pl<=5",
+        # a 2x2 correlation matrix has the eigenvectors (1,1) and (1,-1) with 1+r and 1-r; only the first has one sign
         "p1_rank": (
-            f"with {_HITS}, c as (select corr((ps-0.5)/n,(pl-0.5)/n) r from p) select query_id, doc_id, row_number() over (partition by query_id "
-            "order by round(-(ps-0.5)/n*sqrt(0.5)-(pl-0.5)/n*sqrt(0.5),9) desc, doc_id) place, ps pos_score, pl pos_link from p"
+            f"with {_HITS}, {_PART} select query_id, doc_id, row_number() over (partition by query_id "
+            "order by round(a*x+a*y,9) desc, doc_id) place, ps pos_score, pl pos_link from u, c"
+        ),
+        "p1_component": (
+            f"with {_HITS}, {_PART} select s score, round(a,6) loading, round(1+r,6) eigenvalue, cast(case when r>=0 then 1 else 2 end as bigint) place "
+            "from c, (values ('score'),('link')) v(s)"
         ),
         "p4_found": f"with {_CELLS}, {_MARK} select word, mark from m where mark is not null",
         "p4_counts": f"with {_CELLS}, {_MARK} select word, total, docs, mark from m",

@@ -9,9 +9,8 @@ from paperloom.plans.queries import Query
 from paperloom.runtime import read_table
 
 REGISTRY: dict[str, Query] = {}
-#: Size of the sample tempered mixture, as a share of the usable tokens; at a full pass the
-#: sources that may not repeat leave nothing but the natural shares (exponent 0).
-TEMPERED = 0.8
+#: Size of the mixture in passes over all usable tokens, and the share of it that may repeat.
+PASSES, REPEATED = 1.0, 0.2
 
 
 def query(f: Query) -> Query:
@@ -26,12 +25,21 @@ def _ranked(s, d):
 
 @query
 def p1_found(s, d):
-    return ranking.near_top(_ranked(s, d))
+    return ranking.near_top(_ranked(s, d)[0])
 
 
 @query
 def p1_rank(s, d):
-    return ranking.places(_ranked(s, d), "query_id", "doc_id").select("query_id", "doc_id", "place", "pos_score", "pos_link")
+    return ranking.places(_ranked(s, d)[0], "query_id", "doc_id").select("query_id", "doc_id", "place", "pos_score", "pos_link")
+
+
+@query
+def p1_component(s, d):
+    """The component that ranks: a loading per score, its eigenvalue and its place."""
+    c = _ranked(s, d)[1]
+    return s.createDataFrame(
+        [(n, round(x, 6), round(c.eigenvalue, 6), c.place) for n, x in zip(("score", "link"), c.loadings)],
+        "score string, loading double, eigenvalue double, place long")
 
 
 def _terms(s, d):
@@ -98,22 +106,24 @@ def _mix(s, d, **size):
 
 @query
 def p9_mix(s, d):
-    return _mix(s, d)[0]
+    """As many tokens as there are, limits binding, the exponent bisected."""
+    return _mix(s, d, passes=PASSES, repeated=REPEATED)[0]
 
 
 @query
 def p9_shares(s, d):
-    return _mix(s, d)[1]
+    return _mix(s, d, passes=PASSES, repeated=REPEATED)[1]
 
 
 @query
-def p9_tempered(s, d):
-    return _mix(s, d, passes=TEMPERED)[0]
+def p9_exact(s, d):
+    """The largest mixture at which every share is its target."""
+    return _mix(s, d)[0]
 
 
 @query
-def p9_tempered_shares(s, d):
-    return _mix(s, d, passes=TEMPERED)[1]
+def p9_exact_shares(s, d):
+    return _mix(s, d)[1]
 
 
 @query
