@@ -3,7 +3,7 @@
 Candidate nodes of a tolerant parse are judged by gradient-boosted trees over their
 features, and a hierarchical decoding picks a consistent set. The classifier is fitted on
 texts generated here, in which every construct and every look-alike is labelled; their
-number is the parameter ``TRAIN_TEXTS``. The data's own rows are not used for fitting.
+number is the parameter ``TRAIN_TEXTS``. Neither rows nor phrases of the data are used.
 """
 
 from __future__ import annotations
@@ -24,13 +24,23 @@ from paperloom.runtime import ship
 
 #: Generated training texts; the fit takes a few seconds on the driver.
 TRAIN_TEXTS, SEED = 3000, 7
+#: Parts the families are cut into to measure what a held-out part costs.
+FOLDS = 5
 
 
 class _Maker:
     """Random sentences and labelled constructs."""
 
-    def __init__(self, seed: int):
-        self.r = random.Random(seed)
+    def __init__(self, seed: int, fold: int | None = None, held_out: bool = False):
+        """With ``fold`` the families of constructs and look-alikes of that number modulo
+        ``FOLDS`` are left out, or with ``held_out`` are the only ones."""
+        self.r, self.fold, self.held_out = random.Random(seed), fold, held_out
+
+    def pick(self, families: list) -> Callable:
+        """One of the families in use."""
+        if self.fold is not None:
+            families = [f for i, f in enumerate(families) if (i % FOLDS == self.fold) == self.held_out]
+        return self.r.choice(families)
 
     def word(self) -> str:
         r = self.r
@@ -77,7 +87,7 @@ class _Maker:
         items = lambda mark, inner: "\n".join(f"{mark} {inner()}" for _ in range(r.randint(1, 4)))
         ent = r.choice("nbsp amp lt gt mdash ndash ldquo rdquo rsquo lsquo eacute ouml alpha hellip times".split() + ["#8211", "#x3B1", "#8217", "#39"])
         bold = r.choice(["**{}**", "__{}__"])
-        return r.choice([
+        return self.pick([
             lambda: (f"<{tag}{attr}>{words(1, 4)}</{tag}>", "h", False),
             lambda: (f"<{tag}{attr}>{words(1, 4)}", "h", False),
             lambda: (f"{words(1, 2)}</{tag}>", "h", False),
@@ -134,28 +144,45 @@ class _Maker:
         ])()
 
     def lookalike(self) -> tuple[str, str, bool]:
-        """Text that only holds the same characters."""
+        """Text that only holds the same characters: its families are kinds of signs in another
+        role, filled with random words, letters and numbers."""
         r, w, n, words = self.r, self.word, self.number, self.words
         k = lambda: str(r.randint(2, 300))
-        return (r.choice([
-            lambda: f"each run costs about ${k()} per {w()}, later only ${k()}", lambda: f"${n()} and ${n()}", lambda: f"US${k()}-${k()}", lambda: f"between ${k()} and ${k()} million",
-            lambda: f"the growth is {k()}**2 per step", lambda: f"2**{k()} and 3**{k()}", lambda: f"{k()} * {k()} = {k()}", lambda: f"with 5 * 3 = 15 cells and 2 * 4 = 8",
-            lambda: f"{k()}x{k()} cells (* = {w()}) and * marks in row {k()}", lambda: f"an A* search over {k()} states", lambda: f"A* and B* {w()}", lambda: f"a {w()} of {k()}x{k()} cells (* = {w()}) and * marks", lambda: f"(* = {w()}) and * {w()} in row {k()}", lambda: f"(* = {w()}, ** = {w()})", lambda: f"{w()}* and {w()}*", lambda: f"*p < {n()}, **p < {n()}",
-            lambda: "here a<b and c>d whenever", lambda: f"for p < {n()} and n > {k()} only", lambda: f"x<y or z>{k()}", lambda: f"if {k()} < n then m > {k()}", lambda: "i<j, k>l", lambda: f"<{n()}> and <{k()}", lambda: f"x <= y and y >= z", lambda: f"a < b > c",
-            lambda: "f: X -> Y with X <= Y", lambda: f"{w()} -> {w()} => {w()}", lambda: f"ranks x > y and y > z imply x > z",
-            lambda: f"C:\\{w()}\\{w()}", lambda: f"the files lie in {r.choice('CDE')}:\\data\\{w()} on", lambda: f"D:\\{w()}\\{w()}\\new", lambda: f"\\\\{w()}\\{w()}", lambda: f"C:\\alpha\\item\\{w()}",
-            lambda: f"../{w()}/{w()}.txt and the address of $HOME", lambda: f"$HOME and $PATH", lambda: f"the variables $USER, $LANG and $HOME are kept", lambda: f"{w()}/*.{w()}",
-            lambda: f"see [{k()}] and [3, 4] for", lambda: f"[{k()}]({k()})" if False else f"[{k()}], [{k()}]", lambda: f"the matrix [[1, 2], [3, {k()}]] is", lambda: f"[[{k()}]]" if False else f"[[0, {k()}], [1, 1], [2, 0]]", lambda: f"{w()}[0][1]", lambda: f"[{w()}] ({w()})", lambda: f"the interval [0, 1) or (0, 1]",
-            lambda: f"the set {{a, b, c}} has {k()} elements & no {w()}", lambda: f"{{{{1, 2}}, {{3}}}}", lambda: f"{{{k()}, {k()}}}",
-            lambda: f"the variable {w()}_{w()}_freq is", lambda: f"max_term_freq and min_doc_len", lambda: f"x_i and y_j", lambda: f"_{w()} and {w()}_", lambda: f"snake_case_{w()}", lambda: f"__init__ of {w()}" if r.random() < 0.3 else f"{w()}_1 and {w()}_2",
-            lambda: "Q&A logs and R&D notes", lambda: f"we ran the Q&A; it took {k()} hours", lambda: f"AT&T; {w()} & {w()}", lambda: f"R&D; and Q&A;", lambda: f"{w().capitalize()} ran the Q&A; it took {k()} {w()}", lambda: f"{r.choice('PQRST')}&{r.choice('ABCDE')}; {w()}", lambda: f"{w()}&{w()}; {w()}", lambda: f"S&P; {w()}", lambda: f"B&B; {w()}",
-            lambda: f"item #{k()} of the list", lambda: f"C# and F#", lambda: f"#1 and #2", lambda: f"the ratio a/b -- not b/a -- is {n()}", lambda: f"in the {w()} case - as before - the", lambda: f"it covers ~{k()} km",
-            lambda: f"f''({r.choice('xt')}) and g''({r.choice('xt')})", lambda: f"5'' and 6'' {w()}", lambda: f"''{w()}" if r.random() < 0.2 else f"{w()}' and {w()}'", lambda: f"x == y and y == z", lambda: f"a = b == c",
-            lambda: f"|x| < {n()} and |y| > {n()}", lambda: f"P(a|b) and P(b|a)", lambda: f"{w()} | {w()}", lambda: f'"{words()}"', lambda: f"don't, can't and it's", lambda: f"({k()}) {w()}; (b) {w()}", lambda: f"{k()}% of the {w()}",
-            lambda: f"10^{k()} and 2^n", lambda: f"`{w()} and '{w()}'" if r.random() < 0.5 else f"the `{w()}' {w()}", lambda: f"e-mail {w()}@{w()}.org", lambda: f"a_1, ..., a_n", lambda: f"{k()}~{k()} {w()}",
-        ])(), "", False) if r.random() < 0.85 else (r.choice([
-            lambda: f"- {n()} degrees in {w()}", lambda: f"{k()}. {w()}" if r.random() < 0.3 else f"{k()}) {w()}", lambda: f"> {n()} in {w()}" if r.random() < 0.5 else f"< {n()} in {w()}", lambda: f"#{k()} in {w()}", lambda: f"* = {w()}", lambda: f"= {n()} in {w()}", lambda: f"-- {words(2, 3)}", lambda: f"$ {k()} a {w()}",
-        ])(), "", True)
+        v, big = lambda: r.choice("abcdefghijkmnpqrstuvwxyz"), lambda: r.choice("ABCDEFGHIJKLMNPQRSTVWXYZ")
+        some = lambda *xs: r.choice(xs)
+        name = lambda: "".join(big() for _ in range(r.randint(3, 6)))
+        part = lambda: re.sub(r"\W", "", w()) or "x"
+        if r.random() < 0.85:
+            return self.pick([
+                # prices
+                lambda: f"{words()} ${k()} {words()}, {words()} ${k()}", lambda: f"{words()} ${n()}", lambda: f"${n()} {some('and', 'or', 'to')} ${n()} {words()}", lambda: f"{some('US', 'A', 'C')}${k()}-${k()}",
+                # powers and products
+                lambda: f"{words()} {k()}**{r.randint(2, 9)} {words()}", lambda: f"{r.randint(2, 9)}**{k()} {some('and', 'plus')} {r.randint(2, 9)}**{k()}", lambda: f"{k()} * {k()} = {k()}", lambda: f"{words()} {r.randint(2, 9)} * {r.randint(2, 9)} = {k()} {w()} {some('and', 'or')} {r.randint(2, 9)} * {r.randint(2, 9)} = {k()}",
+                # stars as names, keys and marks of significance
+                lambda: f"{words()} {big()}* {words()}", lambda: f"{big()}* {some('and', 'or')} {big()}* {words()}", lambda: f"{w()} (* = {w()}) {some('and', 'with')} * {w()} {words()}", lambda: f"(* = {words()}, ** = {w()})", lambda: f"{words()} (* = {w()})", lambda: f"{w()}* and {w()}* {w()}", lambda: f"*p < {n()}, **p < {n()}",
+                # comparisons
+                lambda: f"{words()} {v()}<{v()} {some('and', 'or')} {v()}>{v()} {w()}", lambda: f"{words()} {v()} < {n()} and {v()} > {k()} {w()}", lambda: f"{v()}<{v()} {some('or', 'and')} {v()}>{k()}", lambda: f"{some('if', 'when')} {k()} < {v()} {w()} {v()} > {k()}", lambda: f"{v()}<{v()}, {v()}>{v()}", lambda: f"<{n()}> {some('and', 'or')} <{k()}", lambda: f"{v()} <= {v()} and {v()} >= {v()}", lambda: f"{v()} < {v()} > {v()}",
+                lambda: f"{v()}: {big()} -> {big()} {words()} {big()} <= {big()}", lambda: f"{w()} -> {w()} => {w()}", lambda: f"{words()} {v()} > {v()} and {v()} > {v()} {w()} {v()} > {v()}",
+                # paths and names of the system
+                lambda: f"{some(*'CDEF')}:\\{part()}\\{part()}", lambda: f"{words()} {some(*'CDE')}:\\{part()}\\{part()} {words()}", lambda: f"{some(*'DEF')}:\\{part()}\\{part()}\\{part()}", lambda: f"\\\\{part()}\\{part()}", lambda: f"{words()} /{part()}/{part()}.{part()} {words()}",
+                lambda: f"{words()} ${name()} {words()}", lambda: f"${name()} {some('and', 'or')} ${name()}", lambda: f"../{part()}/{part()}.txt {words()} ${name()}", lambda: f"{part()}/*.{part()}",
+                # brackets and braces
+                lambda: f"{w()} [{k()}] and [{r.randint(1, 9)}, {r.randint(1, 9)}] {w()}", lambda: f"[{k()}], [{k()}]", lambda: f"{words()} [[{n()}, {n()}], [{n()}, {k()}]] {w()}", lambda: f"[[0, {k()}], [{n()}, 1], [{n()}, 0]]", lambda: f"{part()}[{r.randint(0, 9)}][{r.randint(0, 9)}]", lambda: f"[{w()}] ({w()})", lambda: f"{words()} [0, {n()}) or ({n()}, 1]",
+                lambda: f"{words()} {{{v()}, {v()}, {v()}}} {words()} & {words()}", lambda: f"{{{{{k()}, {k()}}}, {{{k()}}}}}", lambda: f"{{{k()}, {k()}}} {w()}",
+                # underscores
+                lambda: f"{words()} {part()}_{part()}_{part()} {words()}", lambda: f"{part()}_{part()} and {part()}_{part()}", lambda: f"{v()}_{v()} and {v()}_{v()}", lambda: f"_{part()} and {part()}_", lambda: f"__{part()}__ {words()}" if r.random() < 0.3 else f"{part()}_1 and {part()}_2",
+                # ampersands
+                lambda: f"{big()}&{big()} {w()} {some('and', 'or')} {big()}&{big()} {w()}", lambda: f"{words()} {big()}&{big()}; {words()}", lambda: f"{big()}{big()}&{big()}; {w()} & {w()}", lambda: f"{big()}&{big()}; {w()}", lambda: f"{part()}&{part()}; {w()}", lambda: f"{w().capitalize()} & {w()} {words()}",
+                # signs of numbering, dashes and ratios
+                lambda: f"{w()} #{k()} {words()}", lambda: f"{big()}# and {big()}#", lambda: "#1 and #2", lambda: f"{words()} {v()}/{v()} -- {w()} {v()}/{v()} -- {w()} {n()}", lambda: f"{words()} - {w()} {w()} - {words()}", lambda: f"{words()} ~{k()} {w()}", lambda: f"{k()}~{k()} {w()}",
+                # primes and quotes
+                lambda: f"{v()}''({v()}) and {v()}''({v()})", lambda: f"{n()}'' and {n()}'' {w()}", lambda: f"''{w()}" if r.random() < 0.2 else f"{w()}' and {w()}'", lambda: f'"{words()}"', lambda: "don't, can't and it's", lambda: f"`{w()} and '{w()}'" if r.random() < 0.5 else f"{w()} `{w()}' {w()}",
+                # equal signs, bars and the rest
+                lambda: f"{v()} == {v()} and {v()} == {v()}", lambda: f"{v()} = {v()} == {v()}", lambda: f"|{v()}| < {n()} and |{v()}| > {n()}", lambda: f"{big()}({v()}|{v()}) and {big()}({v()}|{v()})", lambda: f"{w()} | {w()}", lambda: f"({k()}) {w()}; ({v()}) {w()}", lambda: f"{k()}% {words()}", lambda: f"10^{k()} and 2^{v()}", lambda: f"e-mail {part()}@{part()}.org", lambda: f"{v()}_1, ..., {v()}_{v()}",
+            ])(), "", False
+        return self.pick([
+            lambda: f"- {n()} {words()}", lambda: f"{k()}. {w()}" if r.random() < 0.3 else f"{k()}) {w()}", lambda: f"> {n()} {words()}" if r.random() < 0.5 else f"< {n()} {words()}", lambda: f"#{k()} {words()}", lambda: f"* = {w()}", lambda: f"= {n()} {words()}", lambda: f"-- {words(2, 3)}", lambda: f"$ {k()} {words()}",
+        ])(), "", True
 
     def text(self) -> tuple[str, list[tuple[int, int, str]]]:
         """A text and its marked spans (start, end, language initials)."""
@@ -246,10 +273,11 @@ class _Maker:
         return "".join(out), marks
 
 
-def training_rows(texts: int = TRAIN_TEXTS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+def training_rows(texts: int = TRAIN_TEXTS, seed: int = SEED, fold: int | None = None, held_out: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the candidate nodes of generated texts. A node is real if a
-    marked span of its language holds it and it does not stand in that span's code."""
-    make, rows, labels = _Maker(seed), [], []
+    marked span of its language holds it and it does not stand in that span's code. For
+    ``fold`` and ``held_out`` see ``_Maker``."""
+    make, rows, labels = _Maker(seed, fold, held_out), [], []
     for _ in range(texts):
         text, marks = make.text()
         nodes = dom.parse(text)

@@ -95,6 +95,22 @@ def test_markup_held_out_accuracy():
     assert ((markup.model().logits(x) > 0) == (y > 0)).mean() > 0.96
 
 
+def held_out_figures(fold: int, texts: int = 1200) -> tuple[float, float]:
+    """Recall and precision, by node, on families of constructs and look-alikes that the fit
+    never saw."""
+    from paperloom.llm.boosting import fit
+
+    trees = fit(*markup.training_rows(texts, fold=fold))
+    x, y = markup.training_rows(texts // 3, seed=99, fold=fold, held_out=True)
+    said, real = trees.logits(x) > 0, y > 0
+    return (said & real).sum() / real.sum(), (said & real).sum() / said.sum()
+
+
+def test_markup_of_unseen_families():
+    recall, precision = held_out_figures(1)
+    assert recall > 0.8 and precision > 0.8
+
+
 def test_decoding_has_no_contradiction():
     text = "```\n<b>x</b> and [[y]]\n```\n<!-- **z** --> $a_{b}$"
     nodes = dom.parse(text)
