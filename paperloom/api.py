@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.text import content_tokens
 from paperloom.operators import associations, expand, graph, index, ingest, search, suggest
 from paperloom.runtime import release, store
-from paperloom.sources.files import write_associations, write_table
+from paperloom.sources.files import read_whole_files, write_associations, write_table
 
 #: Tables that uploads add to.
 GROWING = ("postings", "lengths", "meta", "lexicon")
@@ -162,7 +162,7 @@ class Engine:
         associations wait for the next build. One writer at a time.
         """
         version = self.version()
-        files = self.spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+        files = read_whole_files(self.spark, folder)
         start = self.table("lengths").agg(F.coalesce(F.max("doc_id") + 1, F.lit(0))).first()[0]
         rows = store(ingest.assign_ids(ingest.parse_uploads(files), start, "path"))
         docs = rows.select("doc_id", F.col("value").alias("text"))

@@ -110,6 +110,8 @@ def core_sql() -> dict[str, str]:
     line = f"concat_ws(chr(9), {C1.format('id')}, abstract)"
     q["src_tsv_split"] = (f"select line_no, substring({line},1,instr({line},chr(9))-1) doc_key, substring({line},instr({line},chr(9))+1) content "
                           f"from raw_papers where instr({line},chr(9))>0")
+    q["src_tsv_file"] = f"select {C1.format('id')} doc_key, {C1.format('title')}||' '||{C1.format('abstract')} as content from raw_papers"
+    q["src_whole_files"] = "select n_name||chr(10)||n_regionkey||chr(10) as value from nation"
     q["src_citation_explode"] = ("select cast(src as varchar) src, cast(dst as varchar) ref, count(*) n from graph_edges where src is not null group by 1,2")
     ln = "list_transform(string_split(concat_ws('|',coalesce(original_id,''),coalesce(title,''),coalesce(authors,''),coalesce(category,'')),'|'), lambda x: x)"
     q["metadata_parse"] = "select line_no, " + ", ".join(
@@ -203,6 +205,7 @@ def core_sql() -> dict[str, str]:
         f"{ups}, ulen as (select doc_id, count(*) dl from ukeep group by 1) select doc_id, coalesce(replace(replace(id,chr(10),''),'|','-'),'upload/new') original_id, "
         f"coalesce({up.format('title')},'Uploaded Document') title, coalesce({up.format('coalesce(authors,submitter)')},'System Updater') authors, "
         "'New' as category, coalesce(update_date, versions[1].created,'2025-01-01') date, coalesce(dl,0) dl from up left join ulen using(doc_id)")
+    q["stream_ingest"] = q["ingest_append"].replace("order by line_no)-1+(select max(doc_id)+1 from corpus)", f"order by cast({raw} as varchar))-1")
     q["ingest_forward"] = (
         f"{ups}, {KEEP.replace(CORPUS + ', ', '', 1)}, {lex}, fresh as (select row_number() over (order by f)-1+(select max(word_id)+1 from lx) word_id, w word from "
         "(select w, min((doc_id,p)) f from ukeep where w not in (select word from lx) group by 1)), al as (select * from lx union all select * from fresh), "

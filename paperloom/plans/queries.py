@@ -13,7 +13,7 @@ from paperloom.functions.text import clean_line, content_line, content_tokens, t
 from paperloom.operators import associations, expand, graph, index, ingest, metadata, multivalue, orphans, search, suggest
 from paperloom.plans import fixtures
 from paperloom.plans.stored import stored
-from paperloom.runtime import read_table, store
+from paperloom.runtime import read_table, store, work_path
 from paperloom.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,22 @@ def src_citation_explode(s, d):
         F.count("*").alias("n"))
 
 
+@query
+def src_tsv_file(s, d):
+    """The clean text file written and scanned again; a content with a line end is several lines."""
+    path, p = work_path(s), read_table(s, d, "raw_papers")
+    files.write_tsv(p.select(clean_line(F.col("id")).alias("doc_key"), content_line(F.col("title"), F.col("abstract")).alias("content")), path)
+    return files.read_tsv(s, path)
+
+
+@query
+def src_whole_files(s, d):
+    """A folder of uploaded files, one row each."""
+    path = work_path(s)
+    read_table(s, d, "nation").select("n_nationkey", F.concat_ws("\n", "n_name", F.col("n_regionkey").cast("string")).alias("value")).write.partitionBy("n_nationkey").text(path)
+    return files.read_whole_files(s, f"{path}/*").select("value")
+
+
 @query
 def metadata_parse(s, d):
     m = read_table(s, d, "doc_metadata")

@@ -48,4 +48,4 @@ def ingest_folder_once(lines: DataFrame) -> DataFrame:
     stream.awaitTermination()
     if stream.exception():
         raise stream.exception()
-    return spark.read.schema(APPENDED).parquet(f"{base}/table")
+    return spark.read.schema(APPENDED).parquet(f"{base}/table").drop("epoch")
