@@ -61,14 +61,16 @@ def id_map(keys: DataFrame, key: str = "doc_key") -> DataFrame:
 
 
 def mapped_texts(texts: DataFrame, mapping: DataFrame, order: str) -> DataFrame:
-    """(doc_id, doc_key, text) of texts (doc_key, text, ``order``) whose key is mapped.
+    """The rows of texts (doc_key, ``order``, …) whose key is mapped, with their ``doc_id``.
 
-    Texts with an unknown or null key are dropped; of several with one key the one with the
-    largest ``order`` stays, as the last one written, chosen by a partial aggregate. A null
-    text is an empty one.
+    Rows with an unknown or null key are dropped; of several with one key the one with the
+    largest ``order``, which must be unique, stays, as the last one written. The winners are
+    chosen on keys alone, by a partial aggregate, and the texts are only shuffled if the
+    winners are too many to be broadcast.
     """
-    last = texts.filter("doc_key is not null").groupBy("doc_key").agg(F.max_by(F.struct("text"), order).alias("t"))
-    return last.join(last_mapping(mapping), "doc_key").select("doc_id", "doc_key", F.coalesce("t.text", F.lit("")).alias("text"))
+    last = texts.filter("doc_key is not null").groupBy("doc_key").agg(F.max(order).alias(order))
+    winners = store(last.join(last_mapping(mapping), "doc_key").select(order, "doc_id", F.lit(1).alias("__n")))
+    return attach(texts, winners, order, "__n").drop("__n", order)
 
 
 def last_mapping(mapping: DataFrame) -> DataFrame:

@@ -6,26 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import first_line_title
-from paperloom.operators.index import last_mapping, mapped_texts
+from paperloom.operators.index import mapped_texts
 from paperloom.runtime import read_table
 
 
+def _mapped(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    docs = read_table(spark, d, "documents").select("doc_key", F.col("doc_id").alias("at"), *columns)
+    return mapped_texts(docs, read_table(spark, d, "id_map"), "at")
+
+
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, doc_key, text): the searchable texts, by the ids their keys are mapped to."""
-    docs = read_table(spark, d, "documents")
-    return mapped_texts(docs.select("doc_key", "text", F.col("doc_id").alias("at")), read_table(spark, d, "id_map"), "at")
+    """(doc_id, doc_key, text): the searchable texts, by the ids their keys are mapped to; a
+    null text is an empty one."""
+    return _mapped(spark, d, "text").select("doc_id", "doc_key", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def corpus_metadata(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, id, title, authors, category, date) of the texts; what is null is a placeholder."""
-    docs = read_table(spark, d, "documents").filter("doc_key is not null")
-    fields = ("text", "source", "category", "fetched_at")
-    last = docs.groupBy("doc_key").agg(F.max_by(F.struct(*fields), "doc_id").alias("m")).join(
-        last_mapping(read_table(spark, d, "id_map")), "doc_key")
-    return last.select(
-        "doc_id", F.col("doc_key").alias("id"), first_line_title(F.col("m.text")).alias("title"),
-        F.coalesce("m.source", F.lit("Unknown")).alias("authors"), F.coalesce("m.category", F.lit("N/A")).alias("category"),
-        F.coalesce(F.date_format("m.fetched_at", "yyyy-MM-dd"), F.lit("N/A")).alias("date"))
+    return _mapped(spark, d, "text", "source", "category", "fetched_at").select(
+        "doc_id", F.col("doc_key").alias("id"), first_line_title(F.col("text")).alias("title"),
+        F.coalesce("source", F.lit("Unknown")).alias("authors"), F.coalesce("category", F.lit("N/A")).alias("category"),
+        F.coalesce(F.date_format("fetched_at", "yyyy-MM-dd"), F.lit("N/A")).alias("date"))
 
 
 def paper_lines(spark: SparkSession, d: str) -> DataFrame:

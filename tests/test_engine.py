@@ -175,7 +175,9 @@ def test_files_round_trip(spark, tmp_path):
 def test_texts_meet_the_map(spark):
     texts = spark.createDataFrame([("a", "old", 1), ("a", "new", 2), ("zz", "x", 3), (None, "y", 4), ("b", None, 5)], "doc_key string, text string, n long")
     ids = spark.createDataFrame([("a", 3), ("a", 7), ("b", 1), (None, 9)], "doc_key string, doc_id long")
-    assert rows(index.mapped_texts(texts, ids, "n")) == [(1, "b", ""), (7, "a", "new")]
+    got = index.mapped_texts(texts, ids, "n").select("doc_id", "doc_key", F.coalesce("text", F.lit("")))
+    assert rows(got) == [(1, "b", ""), (7, "a", "new")]
+    assert index.mapped_texts(texts.limit(0), ids, "n").count() == 0 == index.mapped_texts(texts, ids.limit(0), "n").count()
 
 
 def test_graph_of_citations(spark):
