@@ -24,6 +24,10 @@ from paperloom.runtime import ship
 WORD = 64
 
 
+#: Cached pairs of a worker: some 128 bytes each, 64 MB in all.
+PAIRS = (64 << 20) // 128
+
+
 class RankQueue:
     """Buckets of positions by rank with a hierarchical bitmap over 64-bit words."""
 
@@ -91,7 +95,7 @@ class ByteBpe:
         r = self.pairs.get(key)
         if r is None:
             r = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
-            if len(self.pairs) < 4_000_000:
+            if len(self.pairs) < PAIRS:
                 self.pairs[key] = r
         return r
 

@@ -93,7 +93,7 @@ javascript отключен
 请开启javascript
 <check> that you are human
 <check> you are human
-<check> your browser
+^<check> your browser
 <check> if the <page> connection is secure
 ^complete the captcha
 ^please complete the captcha
@@ -281,11 +281,14 @@ _FIELD = (
     "reviewer|editor|conference|venue|grant|funder|university|department|city|country|address|paper|id|number|text|content|summary|caption|acknowledgements"
 )
 
+# Of these, no names of HTML elements.
+_ANGLE = "author|authors|name|names|date|year|affiliation|institution|institute|email|doi|url|keyword|keywords|journal|volume|issue|reviewer|venue|grant|funder|university|city|country"
+
 # No pattern is bounded in length: each scan ends at the next opening sign or line end.
 _SLOT = "|".join((
     r"\{\{\s*[A-Za-z_][\w.-]*(?:(?: +| *\| *)[\w.-]+)*\s*\}\}", r"\{%(?:(?!\{%).)*?%\}", r"<%(?:(?!<%).)*?%>", r"[$#]\{\s*[A-Za-z_][\w.-]*\s*\}(?!\$)",
     r"%[A-Z][A-Z_]{2,}%", r"<<\s*[A-Z][A-Z0-9_ ]+>>", rf"<<\s*(?i:{_FIELD})\s*>>", r"@@\w+@@", r"(?<!\w)__[A-Z][A-Z0-9_]+__(?!\w)", r"\[\[\s*[A-Z][A-Z_ ]{2,}\]\]",
-    rf"(?<![\w$#{{\\}}])\{{(?:[A-Za-z]+_)*(?i:{_FIELD})(?:_[A-Za-z]+)*\}}(?!\}})", r"<\s*(?i:insert|enter|your)\s[^<>\n]+>",
+    rf"(?<![\w$#{{\\}}])\{{(?:[A-Za-z]+_)*(?i:{_FIELD})(?:_[A-Za-z]+)*\}}(?!\}})", r"<\s*(?i:insert|enter|your)\s[^<>\n]+>", rf"<(?i:{_ANGLE})>",
     r"\[\s*(?i:insert|enter|your|todo|tbd|placeholder)\b[^\[\]\n]*\]", r"\[\s*(?i:[a-z]+ (?:name|number|title|date|address|here|not supplied))\s*\]",
     r"(?<=: )_{6,}", r"\[(?i:object object)\]",
 ))
