@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.text import content_tokens
 from paperloom.operators import associations, expand, graph, index, ingest, search, suggest
-from paperloom.runtime import release, store
+from paperloom.runtime import exists, release, store
 from paperloom.sources.files import read_whole_files, write_associations, write_table
 
 #: Tables that uploads add to.
@@ -42,8 +42,7 @@ class Engine:
 
     def version(self) -> str | None:
         """Name of the published version; None before the first build."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
+        if not exists(self.spark, f"{self.path}/CURRENT"):
             return None
         return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import associations, graph, index
 from paperloom.plans import fixtures
-from paperloom.runtime import attach, read_table, store, work_path
+from paperloom.runtime import attach, exists, read_table, store, work_path
 from paperloom.sources import files
 
 #: Word ids of one barrel; the search and lookup queries share it.
@@ -79,9 +79,18 @@ class Stored:
         return rows.select("doc_id", word.alias("word"), F.col("freq").alias("tf"))
 
 
+    def whole(self) -> bool:
+        """Whether all that has been built is still there."""
+        paths = [getattr(t, "_paperloom_path", t) for t in vars(self).values() if isinstance(t, DataFrame)]
+        return all(exists(self.spark, p) for p in [*paths, *([self.barrels] if "barrels" in vars(self) else [])])
+
+
 def stored(spark: SparkSession, folder: str) -> Stored:
-    """The stored index of a folder, one a session."""
+    """The stored index of a folder, one a session; made anew if its files are gone."""
     sc = spark.sparkContext
     if not hasattr(sc, "_paperloom_stored"):
         sc._paperloom_stored = {}
-    return sc._paperloom_stored.setdefault(folder, Stored(spark, folder))
+    found = sc._paperloom_stored.get(folder)
+    if found is None or not found.whole():
+        found = sc._paperloom_stored[folder] = Stored(spark, folder)
+    return found

@@ -61,6 +61,12 @@ def work_path(spark: SparkSession) -> str:
     return f"{_work_folder(spark)}/{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a written table; silently nothing if the session has already gone."""
     try:

@@ -243,3 +243,31 @@ def test_expanded_hybrid_search_ranks_by_links(spark, monkeypatch):
     assert both and all(abs(x["score"] - score - gain(x)) < 5e-6 for x, score in both)
     assert any(gain(x) > 0.001 for x, _ in both)
     assert {x["title"].startswith("[Related to ") for x, _ in both} == {True, False}
+
+
+def test_laid_out_tables_are_not_shuffled(spark):
+    from paperloom.runtime import laid_out, release
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid = laid_out(spark.range(1000).selectExpr("id % 50 as k", "id"), n, ["k"], ["k"])
+    other = spark.range(2000).selectExpr("id % 60 as k", "id as v").groupBy("k").agg(F.max("v").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = laid.join(other, "k")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and joined.count() == 1000  # that of the other side
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    release(laid)
+
+
+def test_a_stored_index_that_is_gone_is_built_again(spark):
+    from paperloom.plans.stored import stored
+    from paperloom.runtime import discard
+
+    d = "/root/testdata/sf0.001"
+    first = stored(spark, d)
+    n = first.postings.count()
+    assert stored(spark, d) is first
+    discard(spark, first.postings._paperloom_path)
+    assert stored(spark, d) is not first and stored(spark, d).postings.count() == n
