@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.operators.multivalue import split_names
-from paperloom.runtime import release, ship, spread_join, store
+from paperloom.runtime import attach, release, ship, spread_join, store
 
 #: Least cosine of two whole names, of two family forms in their join, and least average of two clusters that merge.
 COSINE, FAMILY_COSINE, LINKAGE = 0.2, 0.5, 0.1
@@ -175,15 +175,15 @@ def _shorter(w: str) -> set[str]:
 
 def given_keys(given: str) -> tuple[list[str], list[str], bool]:
     """Keys of a given name: those under which full names meet, the initials under which it
-    meets short ones, and whether it is short itself. The second letter is an initial too,
-    for a first letter that was dropped or swapped."""
+    meets short ones, and whether it is short itself. Second letters are initials too, for a
+    first letter that was dropped, changed or swapped: names an edit apart share one."""
     first = given.split(" ")[0]
     if not first:
         return [""], [], False
     forms = _formal(first)
     short = len(first) <= SHORT
     fine = set().union(*(_shorter(f) if len(f) > SHORT else {f} for f in forms))
-    return sorted(fine), sorted({f[0] for f in forms} | (set() if short else {first[1]})), short
+    return sorted(fine), sorted({f[0] for f in forms} | (set() if short else {f[1] for f in forms if len(f) > 1})), short
 
 
 def may_be_one(a: tuple[str, str, str, str], b: tuple[str, str, str, str]) -> int:
@@ -250,24 +250,36 @@ def readings(names: DataFrame) -> DataFrame:
         "fine array<string>, initials array<string>, short boolean")
 
 
-def _weighted(grams: DataFrame, n: int, keys: list[str], tf: Column) -> DataFrame:
-    """(keys…, gram, at, w): the weight of each trigram of each item, ``tf`` times a bounded
+def _weighted(grams: DataFrame, n: int, keys: list[str]) -> DataFrame:
+    """(keys…, gram, at, w): the weight of each trigram of each item, its count times a bounded
     log of its rarity; ``grams`` is (keys…, gram, pos)."""
-    per = grams.groupBy(*keys, "gram").agg(tf.alias("tf"), F.collect_set("pos").alias("at"))
+    per = grams.groupBy(*keys, "gram").agg(F.count("*").alias("tf"), F.collect_set("pos").alias("at"))
     df = per.groupBy("gram").agg(F.count("*").alias("df"))
     return per.join(df, "gram").withColumn("w", F.col("tf") * F.log1p(1 / (F.col("df") / max(n, 1) + FLOOR)))
 
 
-def name_vectors(read: DataFrame) -> DataFrame:
-    """(name, vec): unit trigram vectors of whole names, a map from trigram to weight. Words
-    are padded each, so the order of the parts is no matter; particles, titles and suffixes
-    are not in the readings. A trigram of a given name weighs ``GIVEN``."""
-    whole = read.filter("first").select("name", F.concat(F.array("family"), F.split("given", " ")).alias("words"))
-    padded = whole.select("name", F.posexplode("words").alias("at", "w")).filter("w != ''").withColumn("w", F.concat(F.lit("^"), "w", F.lit("$")))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("w") - GRAM + 1, F.lit(1)))
-    grams = padded.select("name", (F.col("at") > 0).alias("pos"), F.explode(F.transform(starts, lambda i: F.substring("w", i, F.lit(GRAM)))).alias("gram"))
-    grams = grams.withColumn("pos", F.when(F.col("pos"), F.lit(GIVEN)).otherwise(F.lit(1.0)))
-    weighted = _weighted(grams, whole.count(), ["name"], F.sum("pos"))
+def _grams(words: Column, weight: Column) -> Column:
+    """Array of (gram, weight) of the padded words."""
+
+    def of(w: Column) -> Column:
+        padded = F.concat(F.lit("^"), w, F.lit("$"))
+        starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - GRAM + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.struct(padded.substr(i, F.lit(GRAM)).alias("gram"), weight.alias("weight")))
+
+    return F.flatten(F.transform(F.filter(words, lambda w: w != ""), of))
+
+
+def name_vectors(read: DataFrame, only: DataFrame) -> DataFrame:
+    """(name, vec): unit trigram vectors of the whole names in ``only``, a map from trigram to
+    weight. Words are padded each, so the order of the parts is no matter; particles, titles
+    and suffixes are not in the readings. A trigram of a given name weighs ``GIVEN``.
+    Document counts are those of all names, summed before the shuffle."""
+    grams = F.concat(_grams(F.array("family"), F.lit(1.0)), _grams(F.split("given", " "), F.lit(GIVEN)))
+    whole = read.filter("first").select("name", grams.alias("g"))
+    n = max(whole.count(), 1)
+    df = store(whole.select(F.explode(F.array_distinct(F.transform("g", lambda x: x["gram"]))).alias("gram")).groupBy("gram").agg(F.count("*").alias("df")))
+    asked = whole.join(only, "name", "left_semi").select("name", F.explode("g").alias("x")).groupBy("name", "x.gram").agg(F.sum("x.weight").alias("tf"))
+    weighted = attach(asked, df, "gram", "df").withColumn("w", F.col("tf") * F.log1p(1 / (F.col("df") / n + FLOOR)))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
     return weighted.groupBy("name").agg(F.collect_list(F.struct("gram", "w")).alias("v")).select(
         "name", F.map_from_entries(F.transform("v", lambda x: F.struct(x["gram"], x["w"] / norm))).alias("vec"))
@@ -287,7 +299,7 @@ def alike_families(families: DataFrame, threshold: float = FAMILY_COSINE) -> Dat
     places = F.transform(F.sequence(F.lit(1), F.length("family")), lambda i: F.struct(i.alias("pos"), padded.substr(i, F.lit(GRAM)).alias("gram")))
     grams = forms.select("kind", "family", F.explode(places).alias("p")).select("kind", "family", "p.pos", "p.gram")
     vectors = store(
-        _weighted(grams, forms.count(), ["kind", "family"], F.count("*"))
+        _weighted(grams, forms.count(), ["kind", "family"])
         .groupBy("kind", "family").agg(F.sort_array(F.collect_list(F.struct("df", "gram", "w", "at"))).alias("v"))
         .withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"])))
     )
@@ -363,13 +375,15 @@ def candidates(read: DataFrame, links: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
 
     def keyed(df: DataFrame, short: str, long: str) -> DataFrame:
-        keys = F.concat(tag("fine", "="), F.when(F.col("short"), tag("initials", short)).otherwise(none), tag("initials", long))
+        letters = "initials" if "initials" in df.columns else "others"
+        keys = F.concat(tag("fine", "="), F.when(F.col("short"), tag(letters, short)).otherwise(none), tag(letters, long))
         return df.join(common, of, "left").withColumn("key", F.explode(F.when(F.col("common"), keys).otherwise(F.array(F.lit(""))))).drop(
-            "fine", "initials", "short", "common")
+            "fine", "short", "common")
 
-    left, right = keyed(one, "<", ">"), keyed(other, ">", "<")
+    left, right = keyed(one, "<", ">"), keyed(other.withColumnRenamed("initials", "others"), ">", "<")
     met = spread_join(right, left, [*of, "key"], HOT_ROWS).filter(
-        F.when(F.col("first"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")))
+        F.when(F.col("first"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
+        & (F.arrays_overlap("initials", "others") | ((F.size("initials") == 0) & (F.size("others") == 0))))  # all that may be one share a letter
     pairs = met.select("kind", "suffix", "a", "fa", "ga", "b", "fb", "gb").distinct()
     judged = pairs.mapInArrow(_judge, "a string, b string, ok int").filter("ok > 0")
     return judged.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg((F.max("ok") == 2).alias("near"))
@@ -378,10 +392,11 @@ def candidates(read: DataFrame, links: DataFrame) -> DataFrame:
 def name_pairs(read: DataFrame, links: DataFrame, threshold: float = COSINE) -> DataFrame:
     """(a, b, s): the cosine s of the pairs of ``candidates`` that reach the threshold. One
     whose families are too far apart has s 0: it neither links nor parts."""
-    vec = name_vectors(read)
+    met = store(candidates(read, links))
+    vec = name_vectors(read, met.select(F.explode(F.array("a", "b")).alias("name")).distinct())
     va, vb = (vec.select(F.col("name").alias(c), F.col("vec").alias(f"v{c}")) for c in "ab")
     dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("vb", e["key"]), F.lit(0.0)))
-    scored = candidates(read, links).join(va, "a").join(vb, "b").select("a", "b", F.when(F.col("near"), F.round(dot, 9)).otherwise(0.0).alias("s"))
+    scored = met.join(va, "a").join(vb, "b").select("a", "b", F.when(F.col("near"), F.round(dot, 9)).otherwise(0.0).alias("s"))
     return scored.filter((F.col("s") >= threshold) | (F.col("s") == 0))
 
 
